@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from cascadia.llm import mixing, sharding
+from cascadia.llm import extraction, mixing, packing, sharding
 
 
 def queries() -> dict:
-    return {"op4_sharding": sharding.op4_sharding, "op6_mixing": mixing.op6_mixing}
+    return {f.__name__: f for f in (extraction.op1_extraction, packing.op2_packing, sharding.op4_sharding, mixing.op6_mixing)}
 
 
 def oracle_sql() -> dict:
