@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_left: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,12 +33,19 @@ def table(df: DataFrame, name: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete the tables that earlier calls left. For callers whose earlier results are already written out."""
+@contextmanager
+def stage(spark: SparkSession) -> Iterator[None]:
+    """For a stage whose predecessor's result is already written out: deletes the tables that stages left before."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    while _left:
+        path = jvm.org.apache.hadoop.fs.Path(_left.pop())
         path.getFileSystem(conf).delete(path, True)
+    at = len(_written)
+    try:
+        yield
+    finally:
+        _left.extend(_written[at:])
+        del _written[at:]
 
 
 def shards(spark: SparkSession) -> int:
