@@ -1,15 +1,327 @@
-"""Queries over the driver's tables by name."""
+"""Queries over the driver's tables by name, each with its SQL twin where SQL can say it.
+
+The graph is that of parts ordered one after the other: an arc from every line's part to that of the next line of the
+same order.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cascadia.functions.hashing import RESOLUTION, hash_sql, hashed
+from cascadia.functions.tables import settle
+from cascadia.operators import greedy, influence, ranks, report, sampling, sketch
+from cascadia.operators.graph import Graph
+from cascadia.operators.live import MODELS, SEED, live_edges
+from cascadia.operators.reach import levels, reach
+
+L, K, P = 8, 16, 0.1
+_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+_SIZES, _QUERIES = [1, 2, 5, 10], 5
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst: consecutive parts of an order."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy(*_ORDER))
+    return items.select(F.col("l_partkey").alias("src"), after.alias("dst")).where("dst is not null")
+
+
+def parts(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph without self-loops and parallel arcs."""
+    g = Graph.from_arcs(lines(spark, sf_dir), drop_parallel=True)
+    return Graph(settle(g.arcs, "parts"), g.n)
+
+
+def _live(spark, sf_dir, model="weighted"):
+    g = parts(spark, sf_dir)
+    return g, settle(live_edges(g, model, L, SEED, P), "live")
+
+
+def _index(spark, sf_dir, k=K):
+    g, live = _live(spark, sf_dir)
+    own = settle(sketch.per_instance(live, settle(ranks.full(spark, g.n, L), "ranks"), k), "sketches")
+    return g, live, own
+
+
+def _every(g: Graph, step: int) -> DataFrame:
+    return g.vertices().where(F.col("v") % step == 0).select(F.col("v").alias("q"), "v")
+
+
+def graph_simple(spark, sf_dir):
+    return Graph.from_arcs(lines(spark, sf_dir), n=0).arcs
+
+
+def graph_transpose(spark, sf_dir):
+    return Graph.from_arcs(lines(spark, sf_dir), n=0, transpose=True).arcs
+
+
+def graph_undirected(spark, sf_dir):
+    return Graph.from_arcs(lines(spark, sf_dir), n=0, directed=False, drop_parallel=True).arcs
+
+
+def graph_nopar(spark, sf_dir):
+    return Graph.from_arcs(lines(spark, sf_dir), n=0, drop_parallel=True).arcs
+
+
+def graph_validate(spark, sf_dir):
+    return Graph.from_arcs(lines(spark, sf_dir), self_loops=True).statistics()
+
+
+def graph_dense(spark, sf_dir):
+    orders, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
+    pairs = orders.join(items, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", F.col("l_suppkey") + 1_000_000).distinct()
+    return Graph.dense(settle(pairs, "pairs"))[0]
+
+
+def in_degree(spark, sf_dir):
+    return Graph.from_arcs(lines(spark, sf_dir), n=0).in_degrees()
+
+
+def out_degree(spark, sf_dir):
+    return Graph.from_arcs(lines(spark, sf_dir), n=0).out_degrees()
+
+
+def murmur_hash(spark, sf_dir):
+    arcs = Graph.from_arcs(lines(spark, sf_dir), n=0, drop_parallel=True).arcs
+    return hashed(arcs.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3)))), "src", "dst", "i", 64, SEED)
+
+
+def live_weighted(spark, sf_dir):
+    return live_edges(parts(spark, sf_dir), "weighted", L, SEED, P)
+
+
+def live_binary(spark, sf_dir):
+    return live_edges(parts(spark, sf_dir), "binary", L, SEED, P)
+
+
+def live_trivalency(spark, sf_dir):
+    return live_edges(parts(spark, sf_dir), "trivalency", L, SEED, P)
+
+
+def live_counts(spark, sf_dir):
+    g = parts(spark, sf_dir)
+    frames = [live_edges(g, m, L, SEED, P).groupBy("i").agg(F.count("*").alias("arcs")).select(F.lit(m).alias("model"), "i", "arcs") for m in sorted(MODELS)]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
+def rank_full(spark, sf_dir):
+    return ranks.full(spark, parts(spark, sf_dir).n, L)
+
+
+def rank_stratified(spark, sf_dir):
+    return ranks.stratified(spark, parts(spark, sf_dir).n, L)
+
+
+def reach_forward(spark, sf_dir):
+    g, live = _live(spark, sf_dir)
+    return reach(live, _every(g, 50), L)
+
+
+def reach_backward(spark, sf_dir):
+    g, live = _live(spark, sf_dir)
+    return reach(live.select("i", F.col("dst").alias("src"), F.col("src").alias("dst")), _every(g, 50), L)
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
+
+def ball_levels(spark, sf_dir):
+    g = parts(spark, sf_dir)
+    return levels(g.arcs, _every(g, 500), 2)
+
+
+def exact_influence(spark, sf_dir):
+    g, live = _live(spark, sf_dir)
+    sets = _every(g, 10).select((F.col("v") % 7).alias("q"), "v")
+    return influence.exact(live, sets, L)
+
+
+def exact_marginals(spark, sf_dir):
+    g, live = _live(spark, sf_dir)
+    steps = _every(g, 100).select((F.col("v") / 100 + 1).cast("int").alias("step"), "v")
+    return influence.marginals(live, steps, L)
+
+
+def sketch_instance(spark, sf_dir):
+    return _index(spark, sf_dir)[2]
+
+
+def sketch_combined(spark, sf_dir):
+    return sketch.combined(_index(spark, sf_dir)[2], K)
+
+
+def sketch_size(spark, sf_dir):
+    return sketch.sizes(sketch_combined(spark, sf_dir))
+
+
+def estimate_vertex_all(spark, sf_dir):
+    g, _, own = _index(spark, sf_dir)
+    return sketch.estimate_all(sketch.combined(own, K), g.n, K, L).withColumn("estimate", F.round("estimate", 6))
+
+
+def seed_uniform(spark, sf_dir):
+    return sampling.uniform(spark, parts(spark, sf_dir).n, _SIZES, _QUERIES)
+
+
+def seed_neighborhood(spark, sf_dir):
+    return sampling.neighborhood(parts(spark, sf_dir), _SIZES, _QUERIES)
+
+
+def _sets(spark, g):
+    return settle(sampling.uniform(spark, g.n, _SIZES, _QUERIES), "sets")
+
+
+def estimate_sets(spark, sf_dir):
+    g, _, own = _index(spark, sf_dir)
+    sets = _sets(spark, g).select((F.col("size") * 1000 + F.col("q")).cast("long").alias("q"), "v")
+    return sketch.estimate(settle(sketch.combined(own, K), "index"), sets, g.n, K, L).withColumn("estimate", F.round("estimate", 6))
+
+
+def query_benchmark(spark, sf_dir):
+    g, live, own = _index(spark, sf_dir)
+    sizes = influence.benchmark(settle(sketch.combined(own, K), "index"), live, _sets(spark, g), g.n, K, L)[1]
+    return sizes.select("size", "queries", *(F.round(c, 6).alias(c) for c in ("estimate", "exact", "error")))
+
+
+def range_spec(spark, sf_dir):
+    return sampling.ranges(spark, "10-12, 1,5,11,30-35")
+
+
+def _greedy(spark, sf_dir, n, k=K):
+    return greedy.maximize(parts(spark, sf_dir), "weighted", n, k, L)
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.select(*(F.round(c, 6).alias(c) if c in names else F.col(c) for c in df.columns))
+
+
+def greedy_first_seed(spark, sf_dir):
+    return _rounded(_greedy(spark, sf_dir, 1).select("step", "v", "est", "exact"), "est")
+
+
+def greedy_k_seeds(spark, sf_dir):
+    return _rounded(_greedy(spark, sf_dir, 3).select("step", "v", "est", "exact"), "est")
+
+
+def greedy_saturated(spark, sf_dir):
+    return _rounded(_greedy(spark, sf_dir, 2, 5000).select("step", "v", "est", "exact", "saturated"), "est")
+
+
+def greedy_cumulative(spark, sf_dir):
+    return _rounded(_greedy(spark, sf_dir, 3).select("step", "cum_est", "cum_exact"), "cum_est")
+
+
+def coverage_report(spark, sf_dir):
+    g = parts(spark, sf_dir)
+    return report.coverage(greedy.maximize(g, "weighted", 3, K, L), g.n)
+
+
+def quality_gap(spark, sf_dir):
+    return _rounded(greedy.quality_gap(_greedy(spark, sf_dir, 3)), "est", "gap")
+
+
+def top_influence(spark, sf_dir):
+    g, _, own = _index(spark, sf_dir)
+    return _rounded(report.top(sketch.estimate_all(sketch.combined(own, K), g.n, K, L), 10), "estimate")
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten parts with the greatest estimated influence."""
+    return top_influence(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    found = (
+        graph_simple, graph_transpose, graph_undirected, graph_nopar, graph_validate, graph_dense, in_degree, out_degree, murmur_hash,
+        live_weighted, live_binary, live_trivalency, live_counts, rank_full, rank_stratified, reach_forward, reach_backward, ball_levels,
+        exact_influence, exact_marginals, sketch_instance, sketch_combined, sketch_size, estimate_vertex_all, estimate_sets,
+        query_benchmark, seed_uniform, seed_neighborhood, range_spec, greedy_first_seed, greedy_k_seeds, greedy_saturated,
+        greedy_cumulative, coverage_report, quality_gap, top_influence,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict:
-    return {}
+    """DuckDB SQL: closures by recursion where the operators use sketches and searches."""
+    base = f"""lines AS (
+  SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {", ".join(_ORDER)}) AS dst FROM lineitem),
+raw AS (SELECT src::BIGINT AS src, dst::BIGINT AS dst FROM lines WHERE dst IS NOT NULL),
+arcs AS (SELECT DISTINCT src, dst FROM raw WHERE src <> dst),
+size AS (SELECT max(greatest(src, dst)) + 1 AS n FROM arcs),
+nodes AS (SELECT unnest(range(n)) AS v FROM size)"""
+    worlds = f"(SELECT a.src, a.dst, g.indeg, w.i FROM arcs a JOIN (SELECT dst, count(*) AS indeg FROM arcs GROUP BY dst) g ON a.dst = g.dst CROSS JOIN (SELECT unnest(range({L})) AS i) w)"
+    edges = hash_sql(worlds, "src", "dst", "i", L, SEED)
+    cuts = {
+        "weighted": f"least({RESOLUTION}, {RESOLUTION} // indeg)",
+        "binary": str(int(P * RESOLUTION)),
+        "trivalency": f"list_extract([{RESOLUTION // 10}, {RESOLUTION // 100}, {RESOLUTION // 1000}], (h % 3 + 1)::INT)",
+    }
+    live = {m: f"(SELECT i::INT AS i, src, dst FROM {edges} WHERE h % {RESOLUTION} < {cut})" for m, cut in cuts.items()}
+    pairs = f"(SELECT v, i, 0 AS zero FROM nodes CROSS JOIN (SELECT unnest(range({L})) AS i) w)"
+    rank = f"rk AS (SELECT v, i::INT AS i, row_number() OVER (ORDER BY h, v, i) - 1 AS rank FROM {hash_sql(pairs, 'v', 'i', 'zero', L, ranks.RANK_SEED)})"
+    first = f"(SELECT v, i, row_number() OVER (PARTITION BY v ORDER BY h, i) AS round, 2 AS two FROM {hash_sql(pairs.replace('0 AS zero', '1 AS one'), 'v', 'i', 'one', L, ranks.RANK_SEED)})"
+    strat = f"rk AS (SELECT v, i::INT AS i, round::INT AS round, (round - 1) * (SELECT n FROM size) + row_number() OVER (PARTITION BY round ORDER BY h, v) - 1 AS rank FROM {hash_sql(first, 'v', 'round', 'two', L, ranks.RANK_SEED)})"
+    live_cte = f"live AS {live['weighted']}"
+    closed = f"closed AS (SELECT w.i::INT AS i, v AS u, v FROM nodes CROSS JOIN (SELECT unnest(range({L})) AS i) w UNION SELECT c.i, c.u, l.dst FROM closed c JOIN live l ON l.i = c.i AND l.src = c.v)"
+    head = f"WITH RECURSIVE {base}, {live_cte}"
+    full = f"{head}, {closed}, {rank}"
+    per = f"per AS (SELECT i, u, rank FROM (SELECT c.i, c.u, r.rank, row_number() OVER (PARTITION BY c.i, c.u ORDER BY r.rank) AS pos FROM closed c JOIN rk r ON r.v = c.v AND r.i = c.i) WHERE pos <= {K})"
+    both = f"sk AS (SELECT u, pos::INT AS pos, rank FROM (SELECT u, rank, row_number() OVER (PARTITION BY u ORDER BY rank) AS pos FROM per) WHERE pos <= {K})"
+    est = f"est AS (SELECT u, CASE WHEN count(*) >= {K} THEN {K - 1} * (SELECT n FROM size)::DOUBLE / max(rank) ELSE count(*)::DOUBLE / {L} END AS estimate FROM sk GROUP BY u)"
+    slots = f"(SELECT s.size, q.q, unnest(range(s.size)) AS slot FROM (SELECT unnest({_SIZES}) AS size) s CROSS JOIN (SELECT unnest(range({_QUERIES})) AS q) q)"
+    sets = f"sets AS (SELECT size::INT AS size, q::INT AS q, slot::INT AS slot, h % (SELECT n FROM size) AS v FROM {hash_sql(slots, 'size', 'q', 'slot', 1, sampling.SAMPLE_SEED)})"
+    found = f"""tau AS (SELECT u, CASE WHEN count(*) >= {K} THEN max(rank) ELSE (SELECT n FROM size) * {L} END AS tau, count(*) >= {K} AS is_full FROM sk GROUP BY u),
+items AS (SELECT s.size, s.q, k.rank, max(t.tau) AS tau FROM (SELECT DISTINCT size, q, v FROM sets) s JOIN sk k ON k.u = s.v JOIN tau t ON t.u = s.v WHERE NOT is_full OR k.rank < t.tau GROUP BY s.size, s.q, k.rank),
+guess AS (SELECT size, q, (SELECT n FROM size) * sum(1.0::DOUBLE / tau) AS estimate FROM items GROUP BY size, q)"""
+    truth = f"truth AS (SELECT size, q, count(*)::DOUBLE / {L} AS exact FROM (SELECT DISTINCT s.size, s.q, c.i, c.v FROM sets s JOIN closed c ON c.u = s.v) GROUP BY size, q)"
+
+    def greedy_sql(steps: int, k: int, select: str) -> str:
+        sql = f"{head}, {closed}, {strat}, cov0 AS (SELECT 0::INT AS i, 0::BIGINT AS v WHERE false)"
+        for s in range(1, steps + 1):
+            sql += f""",
+left{s} AS (SELECT c.u, r.rank, row_number() OVER (PARTITION BY c.u ORDER BY r.rank) AS pos FROM closed c JOIN rk r ON r.v = c.v AND r.i = c.i WHERE NOT EXISTS (SELECT 1 FROM cov{s - 1} x WHERE x.i = c.i AND x.v = c.v)),
+by_rank{s} AS (SELECT u, {k - 1} * (SELECT n FROM size)::DOUBLE / (rank + 1) AS est, false AS saturated FROM left{s} WHERE pos = {k} ORDER BY rank, u LIMIT 1),
+by_size{s} AS (SELECT u, count(*)::DOUBLE / {L} AS est, true AS saturated FROM left{s} GROUP BY u ORDER BY count(*) DESC, u LIMIT 1),
+pick{s} AS (SELECT * FROM by_rank{s} UNION ALL SELECT * FROM by_size{s} WHERE NOT EXISTS (SELECT 1 FROM by_rank{s})),
+new{s} AS (SELECT DISTINCT c.i, c.v FROM closed c JOIN pick{s} p ON p.u = c.u WHERE NOT EXISTS (SELECT 1 FROM cov{s - 1} x WHERE x.i = c.i AND x.v = c.v)),
+cov{s} AS (SELECT * FROM cov{s - 1} UNION ALL SELECT * FROM new{s})"""
+        rows = " UNION ALL ".join(f"SELECT {s}::INT AS step, u AS v, est, (SELECT count(*) FROM new{s})::DOUBLE / {L} AS exact, saturated FROM pick{s}" for s in range(1, steps + 1))
+        run = "ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+        return f"{sql}, seeds AS (SELECT *, sum(est) OVER ({run}) AS cum_est, sum(exact) OVER ({run}) AS cum_exact FROM ({rows})) {select}"
+
+    plain = f"WITH {base}"
+    start = "(SELECT v FROM nodes WHERE v % 50 = 0)"
+    return {
+        "graph_simple": f"{plain} SELECT src, dst FROM raw WHERE src <> dst",
+        "graph_transpose": f"{plain} SELECT dst AS src, src AS dst FROM raw WHERE src <> dst",
+        "graph_undirected": f"{plain} SELECT src, dst FROM arcs WHERE src < dst UNION ALL SELECT dst, src FROM arcs WHERE src < dst",
+        "graph_nopar": f"{plain} SELECT src, dst FROM arcs",
+        "graph_validate": f"{plain} SELECT max(greatest(src, dst)) + 1 AS n, count(*) AS arcs, count(*) FILTER (src = dst) AS self_loops, 0::BIGINT AS out_of_range, count(*) - count(DISTINCT (src, dst)) AS parallel FROM raw",
+        "graph_dense": "WITH p AS (SELECT DISTINCT o_custkey AS a, l_suppkey + 1000000 AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey), k AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS id FROM (SELECT a AS key FROM p UNION SELECT b FROM p)) SELECT x.id AS src, y.id AS dst FROM p JOIN k x ON x.key = p.a JOIN k y ON y.key = p.b",
+        "in_degree": f"{plain} SELECT dst, count(*) AS indeg FROM raw WHERE src <> dst GROUP BY dst",
+        "out_degree": f"{plain} SELECT src, count(*) AS outdeg FROM raw WHERE src <> dst GROUP BY src",
+        "murmur_hash": f"{plain} SELECT src, dst, i::INT AS i, h FROM {hash_sql('(SELECT src, dst, unnest(range(4)) AS i FROM arcs)', 'src', 'dst', 'i', 64, SEED)}",
+        **{f"live_{m}": f"{plain} SELECT i, src, dst FROM {q}" for m, q in live.items()},
+        "live_counts": f"{plain} " + " UNION ALL ".join(f"SELECT '{m}' AS model, i, count(*) AS arcs FROM {q} GROUP BY i" for m, q in live.items()),
+        "rank_full": f"{plain}, {rank} SELECT v, i, rank FROM rk",
+        "rank_stratified": f"{plain}, {strat} SELECT v, i, round, rank FROM rk",
+        "reach_forward": f"{full} SELECT u AS q, i, v FROM closed WHERE u IN {start}",
+        "reach_backward": f"{full} SELECT v AS q, i, u AS v FROM closed WHERE v IN {start}",
+        "ball_levels": f"{plain}, b0 AS (SELECT v AS q, v, 0 AS level FROM nodes WHERE v % 500 = 0), b1 AS (SELECT q, dst AS v, 1 AS level FROM b0 JOIN arcs ON src = v), b2 AS (SELECT q, dst AS v, 2 AS level FROM b1 JOIN arcs ON src = v) SELECT q, v, min(level)::INT AS level FROM (SELECT * FROM b0 UNION ALL SELECT * FROM b1 UNION ALL SELECT * FROM b2) GROUP BY q, v",
+        "exact_influence": f"{full} SELECT q, count(*)::DOUBLE / {L} AS exact FROM (SELECT DISTINCT u % 7 AS q, i, v FROM closed WHERE u % 10 = 0) GROUP BY q",
+        "exact_marginals": f"{full}, f AS (SELECT i, v, min(u // 100 + 1) AS step FROM closed WHERE u % 100 = 0 GROUP BY i, v), g AS (SELECT step, count(*)::DOUBLE / {L} AS marginal FROM f GROUP BY step) SELECT (n.v // 100 + 1)::INT AS step, n.v, coalesce(marginal, 0.0) AS marginal FROM nodes n LEFT JOIN g ON g.step = n.v // 100 + 1 WHERE n.v % 100 = 0",
+        "sketch_instance": f"{full}, {per} SELECT i, u, rank FROM per",
+        "sketch_combined": f"{full}, {per}, {both} SELECT u, pos, rank FROM sk",
+        "sketch_size": f"{full}, {per}, {both} SELECT count(*) AS entries, count(*) * 8 AS bytes FROM sk",
+        "estimate_vertex_all": f"{full}, {per}, {both}, {est} SELECT u, round(estimate, 6) AS estimate FROM est",
+        "top_influence": f"{full}, {per}, {both}, {est} SELECT u, round(estimate, 6) AS estimate, row_number() OVER (ORDER BY estimate DESC, u)::INT AS place FROM est ORDER BY estimate DESC, u LIMIT 10",
+        "seed_uniform": f"{plain}, {sets} SELECT size, q, slot, v FROM sets",
+        "estimate_sets": f"{full}, {per}, {both}, {sets}, {found} SELECT (size * 1000 + q)::BIGINT AS q, round(estimate, 6) AS estimate FROM guess",
+        "query_benchmark": f"{full}, {per}, {both}, {sets}, {found}, {truth} SELECT g.size, count(*) AS queries, round(avg(estimate), 6) AS estimate, round(avg(exact), 6) AS exact, round(avg(abs(estimate - exact) / exact), 6) AS error FROM guess g JOIN truth t ON t.size = g.size AND t.q = g.q GROUP BY g.size",
+        "range_spec": "SELECT DISTINCT unnest(list_concat(range(10, 13), [1, 5, 11], range(30, 36)))::INT AS value",
+        "greedy_first_seed": greedy_sql(1, K, "SELECT step, v, round(est, 6) AS est, exact FROM seeds"),
+        "greedy_k_seeds": greedy_sql(3, K, "SELECT step, v, round(est, 6) AS est, exact FROM seeds"),
+        "greedy_saturated": greedy_sql(2, 5000, "SELECT step, v, round(est, 6) AS est, exact, saturated FROM seeds"),
+        "greedy_cumulative": greedy_sql(3, K, "SELECT step, round(cum_est, 6) AS cum_est, cum_exact FROM seeds"),
+        "coverage_report": greedy_sql(3, K, "SELECT (SELECT n FROM size)::VARCHAR AS value UNION ALL SELECT count(*)::VARCHAR FROM seeds UNION ALL SELECT v || chr(9) || cum_exact FROM seeds"),
+        "quality_gap": greedy_sql(3, K, "SELECT count(*) AS seeds, round(sum(est), 6) AS est, sum(exact) AS exact, round(100 * (1 - sum(exact) / sum(est)), 6) AS gap FROM seeds"),
+    }
