@@ -2,12 +2,12 @@
 
 A document is cut into segments: runs of windows (of `window` words) with one minimizer, the smallest hash of the
 runs of ANCHOR words in them. Equal windows have equal minimizers, so a shard has all segments with its minimizers, and
-every two equal windows meet in one shard. There segments whose minimizer only one document has are put aside; the
-others, each distinct one once, are indexed, and all of them are streamed against the index. Backward search over its
-wavelet matrix gives their matching statistics; a window's match of full length leads to the smallest document that
-has it.
+every two equal windows meet in one shard. A first pass sends the minimizers alone, half hashed, and finds those that
+one document alone has; their segments hold no repeat and stay behind. In a shard the others, each distinct one once,
+are indexed, and all of them are streamed against the index. Backward search over its wavelet matrix gives their
+matching statistics; a window's match of full length leads to the smallest document that has it.
 
-Between tasks segments travel packed, many to a row, with a dictionary of their words and compressed.
+Between tasks minimizers and segments travel packed, many to a row, the words as codes of a dictionary, compressed.
 """
 
 from __future__ import annotations
@@ -85,9 +85,9 @@ def _unpack(data: bytes, kinds: list) -> list[np.ndarray]:
     return out
 
 
-#: Of distinct segments: hash, minimizer, windows; of occurrences: segment, document, text's mark, first word; then
+#: Of distinct segments: hash, windows; of occurrences: segment, document, text's mark, first word; then
 #: the dictionary and the words' codes in it.
-_KINDS = [np.uint64, np.uint64, np.int32, np.int32, np.int64, np.int32, np.int32, np.uint64, np.int32]
+_KINDS = [np.uint64, np.int32, np.int32, np.int64, np.int32, np.int32, np.uint64, np.int32]
 
 
 def mark(h: np.ndarray) -> int:
@@ -95,6 +95,69 @@ def mark(h: np.ndarray) -> int:
     return int(mix(h, 41).sum(dtype=np.uint64) >> np.uint64(32)) - (1 << 31) if len(h) else -(1 << 31)
 
 
+def _ids(column: pa.Array) -> np.ndarray:
+    return column.fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _half(anchor: np.ndarray) -> np.ndarray:
+    """32 bits of a minimizer other than those that choose its shard; two that share them are kept without need."""
+    return (mix(anchor, 35) >> np.uint64(32)).astype(np.uint32)
+
+
+def _anchors(window: int, parts: int):
+    """Packed (half a minimizer, document) by shard, each pair once for a document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, words, docs = [], 0, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            anchor, doc, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            shard = (mix(anchor, 32) % np.uint64(parts)).astype(np.int64)
+            half = _half(anchor)
+            order = np.lexsort((doc, shard))
+            edges = np.searchsorted(shard[order], np.arange(parts + 1))
+            at, data = [], []
+            for p in range(parts):
+                own = order[edges[p] : edges[p + 1]]
+                if len(own):
+                    pairs = np.unique(doc[own].astype(np.int64) << 32 | half[own])
+                    d = pairs >> 32
+                    there, n = np.unique(d, return_counts=True)
+                    at.append(p)
+                    data.append(_pack(ids[there], n.astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.uint32)))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(data, pa.binary())], names=["shard", "data"])
+            held.clear()
+
+        for b in slices(batches):
+            w = cut(b.column("text"))
+            doc, _, _, low = segments(w.hashes()[0], w.first, window)
+            held.append((low, doc + docs, _ids(b.column("doc_id"))))
+            words, docs = words + len(w.starts), docs + b.num_rows
+            if words > 2 * BUFFER:
+                yield from flush()
+                words = docs = 0
+        yield from flush()
+
+    return run
+
+
+def _repeated(t: pa.Table) -> pa.Table:
+    """Of a shard's minimizers those that two documents or more have: doc_id, halves (its own, packed)."""
+    cols = [_unpack(x, [np.int64, np.int32, np.uint32]) for x in t.column("data").to_pylist()]
+    doc = np.concatenate([np.repeat(c[0], c[1]) for c in cols])
+    half = np.concatenate([c[2] for c in cols])
+    order = np.argsort(half, kind="stable")
+    start = np.flatnonzero(np.r_[True, half[order][1:] != half[order][:-1]]) if len(half) else np.empty(0, np.int64)
+    low, high = (f.reduceat(doc[order], start) if len(start) else doc[:0] for f in (np.minimum, np.maximum))
+    keep = order[np.repeat(low < high, np.diff(np.r_[start, len(half)]))]
+    keep = keep[np.argsort(doc[keep], kind="stable")]
+    ids, first = np.unique(doc[keep], return_index=True)
+    data = [x.tobytes() for x in np.split(half[keep], first[1:])] if len(ids) else []
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "halves": pa.array(data, pa.binary())})
+
+
 def _cut_up(window: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -103,11 +166,14 @@ def _cut_up(window: int, parts: int):
             if not held:
                 return
             h, seg, marks, ids = (np.concatenate(x) if x[0].ndim == 1 else np.concatenate(x, axis=1) for x in zip(*held, strict=True))
+            if not seg.shape[1]:
+                held.clear()
+                return
+            start, count, anchor, key, doc = seg[0].astype(np.int64), seg[1].astype(np.int64), seg[2], seg[3], seg[4].astype(np.int64)
+            begin = seg[5].astype(np.int64)
             word, code = np.unique(h, return_inverse=True)
             code = code.astype(np.int32)
             local = np.empty(len(word), np.int32)
-            start, count, anchor, key, doc = seg[0].astype(np.int64), seg[1].astype(np.int64), seg[2], seg[3], seg[4].astype(np.int64)
-            begin = seg[5].astype(np.int64)
             shard = (mix(anchor, 32) % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((key, shard))
             edges = np.searchsorted(shard[order], np.arange(parts + 1))
@@ -125,7 +191,7 @@ def _cut_up(window: int, parts: int):
                 used = np.unique(codes)
                 local[used] = np.arange(len(used), dtype=np.int32)
                 at.append(p)
-                data.append(_pack(key[rep], anchor[rep], count[rep].astype(np.int32), of.astype(np.int32), ids[doc[own]], marks[doc[own]], begin[own].astype(np.int32), word[used], local[codes]))
+                data.append(_pack(key[rep], count[rep].astype(np.int32), of.astype(np.int32), ids[doc[own]], marks[doc[own]], begin[own].astype(np.int32), word[used], local[codes]))
                 if sum(map(len, data)) > 16 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(data, pa.binary())], names=["shard", "data"])
                     at, data = [], []
@@ -138,9 +204,13 @@ def _cut_up(window: int, parts: int):
             w = cut(b.column("text"))
             h = w.hashes()[0]
             doc, pos, count, low = segments(h, w.first, window)
+            halves = [np.frombuffer(b"".join(x or ()), np.uint32) for x in b.column("_halves").to_pylist()]
+            wanted = np.concatenate([np.int64(d) << 32 | x.astype(np.int64) for d, x in enumerate(halves)]) if halves else np.empty(0, np.int64)
+            some = np.isin(doc << 32 | _half(low).astype(np.int64), wanted)
+            doc, pos, count, low = doc[some], pos[some], count[some], low[some]
             s = w.first[doc] + pos
             key = _stretches(h, s, s + count + window - 1)
-            ids = b.column("doc_id").fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = _ids(b.column("doc_id"))
             marks = np.array([mark(h[p:q]) for p, q in zip(w.first, w.first[1:], strict=False)], np.int32)
             held.append((h, np.stack([(s + words).astype(np.uint64), count.astype(np.uint64), low, key, (doc + docs).astype(np.uint64), pos.astype(np.uint64)]), marks, ids))
             words, docs = words + len(h), docs + b.num_rows
@@ -173,32 +243,18 @@ def _search(window: int):
     def run(t: pa.Table) -> pa.Table:
         cols = [_unpack(x, _KINDS) for x in t.column("data").to_pylist()]
         shift = np.cumsum([0, *(len(c[0]) for c in cols)])
-        key, anchor, count = (np.concatenate([c[i] for c in cols]) for i in (0, 1, 2))
-        of = np.concatenate([c[3].astype(np.int64) + s for c, s in zip(cols, shift, strict=False)])
-        doc, marks, begin = (np.concatenate([c[i] for c in cols]) for i in (4, 5, 6))
-        # minimizers of one document alone are put aside
-        value, which = np.unique(anchor, return_inverse=True)
-        low, high = np.full(len(value), _LAST), np.full(len(value), -1 << 63)
-        np.minimum.at(low, which[of], doc)
-        np.maximum.at(high, which[of], doc)
-        keep = (low < high)[which]
+        key, count = (np.concatenate([c[i] for c in cols]) for i in (0, 1))
+        of = np.concatenate([c[2].astype(np.int64) + s for c, s in zip(cols, shift, strict=False)])
+        doc, marks, begin = (np.concatenate([c[i] for c in cols]) for i in (3, 4, 5))
         # each distinct segment once, with its smallest document
-        _, rep, same = np.unique(key[keep], return_index=True, return_inverse=True)
-        rep = np.flatnonzero(keep)[rep]
-        number = np.full(len(key), -1)
-        number[keep] = same
-        seg = number[of]
-        occurs = seg >= 0
-        seg, doc, marks, begin = seg[occurs], doc[occurs], marks[occurs], begin[occurs]
-        none = pa.table({"doc_id": pa.array([], pa.int64()), "mark": pa.array([], pa.int32()), "from": pa.array([], pa.int32()), "to": pa.array([], pa.int32())})
-        if not len(rep):
-            return none
+        _, rep, same = np.unique(key, return_index=True, return_inverse=True)
+        seg = same[of]
         least = np.full(len(rep), _LAST)
         np.minimum.at(least, seg, doc)
-        words = np.unique(np.concatenate([c[7] for c in cols]))
+        words = np.unique(np.concatenate([c[6] for c in cols]))
         texts = []
         for c, s in zip(cols, shift, strict=False):
-            length = c[2].astype(np.int64) + window - 1
+            length = c[1].astype(np.int64) + window - 1
             ends = np.cumsum(length)
             mine = np.flatnonzero((rep >= s) & (rep < s + len(length)))
             i = rep[mine] - s
@@ -208,7 +264,7 @@ def _search(window: int):
             inner = np.ones(len(place), bool)
             inner[stop - 1] = False
             out = np.zeros(len(place), np.int64)
-            out[inner] = np.searchsorted(words, c[7])[c[8][place[inner]]] + 1
+            out[inner] = np.searchsorted(words, c[6])[c[7][place[inner]]] + 1
             texts.append((mine, n, out))
         owner = np.concatenate([x[0] for x in texts])
         length = np.concatenate([x[1] for x in texts])
@@ -246,7 +302,11 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id (the largest long for null), mark, from, to: stretches of words covered by windows that also start in a
     document with a smaller doc_id."""
     parts = 2 * shards(docs.sparkSession)
-    packed = docs.select("doc_id", "text").mapInArrow(_cut_up(window, parts), "shard int, data binary")
+    texts = docs.select("doc_id", "text")
+    first = texts.mapInArrow(_anchors(window, parts), "shard int, data binary").groupBy("shard").applyInArrow(_repeated, "doc_id long, halves binary")
+    first = first.groupBy("doc_id").agg(F.collect_list("halves").alias("_halves")).withColumnRenamed("doc_id", "_id")
+    some = texts.join(first, F.coalesce(F.col("doc_id"), F.lit(_LAST)) == F.col("_id")).select("doc_id", "text", "_halves")
+    packed = some.mapInArrow(_cut_up(window, parts), "shard int, data binary")
     return packed.groupBy("shard").applyInArrow(_search(window), "doc_id long, mark int, from int, to int")
 
 
