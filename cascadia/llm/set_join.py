@@ -29,7 +29,7 @@ from cascadia.llm.words import cut, mix, shingles, slices
 #: Counters of the corpus sketch, and into how many pieces it is cut on its way.
 SKETCH, PIECES = 1 << 20, 16
 #: Bits of a set's parity map, which bounds the overlap of two sets from above.
-BITS = 1024
+BITS = 512
 #: Bytes of packed list entries that a task gathers before it hands them on.
 BUFFER = 32 << 20
 #: Entries of a list that are skipped together.
@@ -167,18 +167,23 @@ def _lists(percent: int):
 
 
 def _rest(percent: int):
-    """Pairs of a shard's lists that are not connected yet and that size and position do not rule out."""
+    """Pairs of a shard's lists that are not connected yet and that size, position and parity map do not rule out."""
 
     def run(t: pa.Table) -> pa.Table:
         tok, key, n, pos, group = (t.column(c).to_numpy() for c in ("tok", "x", "n", "pos", "component"))
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(tok), -1)
         order = np.lexsort((pos, n, tok))
         tok, key, n, pos, group = tok[order], key[order], n[order].astype(np.int64), pos[order].astype(np.int64), group[order]
+        bits = bits[order]
         start = _runs(tok)
         end = np.r_[start[1:], len(tok)]
         found = [np.empty((2, 0), np.int64)]
 
         def test(i: np.ndarray, j: np.ndarray) -> None:
             ok = (group[i] != group[j]) & (100 * n[i] >= percent * n[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= _least(n[i], n[j], percent))
+            i, j = i[ok], j[ok]
+            # sets differ in as many elements as their parity maps in bits, at least
+            ok = np.concatenate([(n[a] + n[b] - np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1)) // 2 >= _least(n[a], n[b], percent) for a, b in ((i[c : c + 65536], j[c : c + 65536]) for c in range(0, len(i), 65536))]) if len(i) else np.empty(0, bool)
             if ok.any():
                 found.append(np.unique(np.stack([key[i[ok]], key[j[ok]]]), axis=1))
 
@@ -275,10 +280,8 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     group = components(links)
     entries = lists.where("kind = 0").select("tok", "x", "n", "pos").join(group.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
     open_lists = entries.groupBy("tok").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("tok")
-    entries = entries.join(open_lists, "tok").withColumn("shard", F.pmod(F.xxhash64("tok"), F.lit(4 * parts)))
-    rest = entries.select("shard", "tok", "x", "n", "pos", "component").groupBy("shard").applyInArrow(_rest(percent), "x long, y long").distinct()
-    side = lambda c: classes.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    rest = rest.join(side("x"), "x").join(side("y"), "y").mapInArrow(_parity(percent), "x long, y long")
+    entries = entries.join(open_lists, "tok").join(classes.select(F.col("key").alias("x"), "bits"), "x").withColumn("shard", F.pmod(F.xxhash64("tok"), F.lit(4 * parts)))
+    rest = entries.select("shard", "tok", "x", "n", "pos", "component", "bits").groupBy("shard").applyInArrow(_rest(percent), "x long, y long").distinct()
     more = linked(table(rest, "join-rest"), classes, docs, k, percent)
     group = components(links.unionByName(more))
     named = group.join(classes.select(F.col("key").alias("node"), "rep"), "node")
@@ -288,21 +291,6 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     return out.join(whole, F.col("key") == F.col("k"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _parity(percent: int):
-    """Drops pairs that their parity maps rule out: sets differ in as many elements as the maps in bits, at least."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("bits_x", "bits_y"))
-            n, m = (b.column(c).to_numpy().astype(np.int64) for c in ("n_x", "n_y"))
-            ok = (n + m - np.bitwise_count(x ^ y).sum(axis=1)) // 2 >= _least(n, m, percent)
-            yield b.select(["x", "y"]).filter(pa.array(ok))
-
-    return run
-
-
 def op7_set_join(spark, sf_dir):
     """Shingle counts and components of all documents by 3-word shingles with Jaccard similarity 0.9 or more."""
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
