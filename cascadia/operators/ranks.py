@@ -9,7 +9,11 @@ from cascadia.functions.hashing import hashed
 from cascadia.functions.prefix import prefix
 
 RANK_SEED = 7
-_BAND = F.shiftright("h", 20)
+
+
+def _band():
+    """4096 stretches of hash values."""
+    return F.shiftright("h", 20)
 
 
 def _pairs(spark, n: int, l: int) -> DataFrame:  # noqa: E741
@@ -19,7 +23,7 @@ def _pairs(spark, n: int, l: int) -> DataFrame:  # noqa: E741
 def full(spark, n: int, l: int, seed: int = RANK_SEED) -> DataFrame:  # noqa: E741
     """v, i, rank: a permutation of all n * l pairs, ranks from 0, in the order of a hash."""
     pairs = hashed(_pairs(spark, n, l).withColumn("zero", F.lit(0)), "v", "i", "zero", l, seed)
-    return prefix(pairs, [], _BAND, ["h", "v", "i"], "rank").select("v", "i", "rank")
+    return prefix(pairs, [], _band(), ["h", "v", "i"], "rank").select("v", "i", "rank")
 
 
 def stratified(spark, n: int, l: int, seed: int = RANK_SEED) -> DataFrame:  # noqa: E741
@@ -27,7 +31,7 @@ def stratified(spark, n: int, l: int, seed: int = RANK_SEED) -> DataFrame:  # no
     pairs = hashed(_pairs(spark, n, l).withColumn("one", F.lit(1)), "v", "i", "one", l, seed)
     pairs = pairs.withColumn("round", F.row_number().over(Window.partitionBy("v").orderBy("h", "i"))).drop("h", "one")
     pairs = hashed(pairs.withColumn("two", F.lit(2)), "v", "round", "two", l, seed)
-    placed = prefix(pairs.select("v", "i", "round", "h"), ["round"], _BAND, ["h", "v"], "pos")
+    placed = prefix(pairs.select("v", "i", "round", "h"), ["round"], _band(), ["h", "v"], "pos")
     return placed.select("v", "i", "round", ((F.col("round") - 1) * F.lit(n).cast("long") + F.col("pos")).alias("rank"))
 
 

@@ -13,21 +13,21 @@ from cascadia.operators.graph import Graph
 
 # fixed values: the header's first word and layout (magic, directed, padding, vertices, arcs, and the sizes of the
 # graph's, a vertex's and an arc's further data), and the records' tags
-MAGIC, HEADER, VERTEX, ARC = 0x12341234, struct.Struct("<IB3xQQQQQ"), 0, 2
+MAGIC, HEADER, VERTEX, ARC = 0x12341234, "<IB3xQQQQQ", 0, 2
 
 
 def decode(data: bytes) -> tuple[int, bool, np.ndarray, np.ndarray]:
     """(vertices, directed, tails, heads). Further data of vertices and arcs are skipped; other tags raise."""
-    magic, directed, n, m, _, vertex, arc = HEADER.unpack_from(data)
+    magic, directed, n, m, _, vertex, arc = struct.unpack_from(HEADER, data)
     if magic != MAGIC:
         raise ValueError("not a binary graph")
-    raw, size = np.frombuffer(data, np.uint8, offset=HEADER.size), 12 + arc
+    raw, size = np.frombuffer(data, np.uint8, offset=struct.calcsize(HEADER)), 12 + arc
     if len(raw) == m * size:  # arcs alone: one array
         records = raw.reshape(m, size)[:, :12].copy().view("<u4")
         if not (records[:, 0] == ARC).all():
             raise ValueError("corrupt binary graph")
         return n, bool(directed), records[:, 1].astype(np.int64), records[:, 2].astype(np.int64)
-    tails, heads, at = [], [], HEADER.size
+    tails, heads, at = [], [], struct.calcsize(HEADER)
     while at < len(data):
         (tag,) = struct.unpack_from("<I", data, at)
         if tag == ARC:
@@ -46,7 +46,7 @@ def encode(n: int, directed: bool, tails: np.ndarray, heads: np.ndarray) -> byte
     """The format's bytes for arcs without further data."""
     records = np.empty((len(tails), 3), "<u4")
     records[:, 0], records[:, 1], records[:, 2] = ARC, tails, heads
-    return HEADER.pack(MAGIC, directed, n, len(tails), 0, 0, 0) + records.tobytes()
+    return struct.pack(HEADER, MAGIC, directed, n, len(tails), 0, 0, 0) + records.tobytes()
 
 
 def read(spark: SparkSession, path: str, **options) -> Graph:
@@ -63,7 +63,7 @@ def read(spark: SparkSession, path: str, **options) -> Graph:
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in b.column("content").to_pylist():
-                h = HEADER.unpack_from(x)
+                h = struct.unpack_from(HEADER, x)
                 yield pa.RecordBatch.from_arrays([pa.array([h[2]], pa.int64()), pa.array([bool(h[1])])], names=["n", "directed"])
 
     top = files.select("content").mapInArrow(heads, "n long, directed boolean").orderBy("n", ascending=False).first()
