@@ -30,7 +30,7 @@ BLOCK = 512
 def pivots(rows: DataFrame, n: int) -> np.ndarray:
     """About sqrt(n) unit vectors (32 to 1024) from a bounded sample; none within cosine 0.9 of another."""
     want = min(1024, max(32, int(2 * sqrt(n))))
-    found = matrix(drawn(rows.select("key", "vec"), 4 * want).column("vec"))
+    found = matrix(drawn(rows.select("key", "vec"), 4 * want, n).column("vec"))
     if not len(found):
         return found
     found = found / np.linalg.norm(found, axis=1, keepdims=True)

@@ -108,7 +108,7 @@ def search(df: DataFrame, queries, k: int = 20, sought: float = SOUGHT) -> DataF
     n = sum(c for _, c in bands.values())
     per = max(1, round(log(max(1.0, n / FILL)) / log(2.5)))
     a, b = functions(d // 8, per)
-    some = drawn(index, SAMPLE)
+    some = drawn(index, SAMPLE, n)
     base, base_id = matrix(some.column("vec")), some.column("vec_id").to_numpy()
     order = max(1, ceil(k * len(base_id) / max(1, n)))
     share = 1 - (1 - sought) ** (1 / TABLES)
