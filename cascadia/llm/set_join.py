@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cascadia.llm.components import components
-from cascadia.llm.store import shards, table
+from cascadia.llm.store import drop, shards, table
 from cascadia.llm.words import cut, mix, shingles, slices
 
 #: Counters of the corpus sketch, and into how many pieces it is cut on its way.
@@ -166,48 +166,78 @@ def _lists(percent: int):
     return run
 
 
+def _meet(tok: np.ndarray, n: np.ndarray, pos: np.ndarray, group: np.ndarray, percent: int, test) -> None:
+    """Calls test(i, j) with pairs of entries of one list, sorted by tok, n and pos, that are not connected yet and
+    that size and position do not rule out."""
+    start = _runs(tok)
+    end = np.r_[start[1:], len(tok)]
+
+    def some(i: np.ndarray, j: np.ndarray) -> None:
+        ok = (group[i] != group[j]) & (100 * n[i] >= percent * n[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= _least(n[i], n[j], percent))
+        if ok.any():
+            test(i[ok], j[ok])
+
+    short = (end - start) <= LIST_BLOCK
+    width = int((end - start)[short].max(initial=0))
+    run_of = np.repeat(np.arange(len(start)), end - start)
+    for step in range(1, width):  # short lists: all entries against the one so many places on
+        i = np.arange(len(tok) - step)
+        i = i[(run_of[i] == run_of[i + step]) & short[run_of[i]]]
+        some(i, i + step)
+    for s, e in zip(start[~short], end[~short], strict=True):
+        blocks = [(b, min(e, b + LIST_BLOCK)) for b in range(s, e, LIST_BLOCK)]
+        for x, (a, b) in enumerate(blocks):
+            one = group[a] if (group[a:b] == group[a]).all() else None
+            for c, d in blocks[x:]:
+                if 100 * n[b - 1] < percent * n[c]:
+                    break  # sizes ascend: this and all later blocks are too large
+                if one is not None and (group[c:d] == one).all():
+                    continue
+                if min((n[a:b] - pos[a:b]).max(), (n[c:d] - pos[c:d]).max()) < _least(n[a : a + 1], n[c : c + 1], percent)[0]:
+                    continue
+                i, j = np.divmod(np.arange((b - a) * (d - c)), d - c)
+                i, j = i + a, j + c
+                some(i[i < j], j[i < j])
+
+
+def _sorted(t: pa.Table) -> pa.Table:
+    return t.take(pa.array(np.lexsort((t.column("pos").to_numpy(), t.column("n").to_numpy(), t.column("tok").to_numpy()))))
+
+
+def _live(percent: int):
+    """Of a shard's lists the entries that size and position leave a set to meet that is not connected yet."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = _sorted(t)
+        keep = np.zeros(t.num_rows, bool)
+
+        def test(i: np.ndarray, j: np.ndarray) -> None:
+            keep[i] = keep[j] = True
+
+        _meet(t.column("tok").to_numpy(), t.column("n").to_numpy().astype(np.int64), t.column("pos").to_numpy().astype(np.int64), t.column("component").to_numpy(), percent, test)
+        return t.filter(pa.array(keep))
+
+    return run
+
+
 def _rest(percent: int):
     """Pairs of a shard's lists that are not connected yet and that size, position and parity map do not rule out."""
 
     def run(t: pa.Table) -> pa.Table:
+        t = _sorted(t)
         tok, key, n, pos, group = (t.column(c).to_numpy() for c in ("tok", "x", "n", "pos", "component"))
+        n, pos = n.astype(np.int64), pos.astype(np.int64)
         bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(tok), -1)
-        order = np.lexsort((pos, n, tok))
-        tok, key, n, pos, group = tok[order], key[order], n[order].astype(np.int64), pos[order].astype(np.int64), group[order]
-        bits = bits[order]
-        start = _runs(tok)
-        end = np.r_[start[1:], len(tok)]
         found = [np.empty((2, 0), np.int64)]
 
         def test(i: np.ndarray, j: np.ndarray) -> None:
-            ok = (group[i] != group[j]) & (100 * n[i] >= percent * n[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= _least(n[i], n[j], percent))
-            i, j = i[ok], j[ok]
             # sets differ in as many elements as their parity maps in bits, at least
-            ok = np.concatenate([(n[a] + n[b] - np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1)) // 2 >= _least(n[a], n[b], percent) for a, b in ((i[c : c + 65536], j[c : c + 65536]) for c in range(0, len(i), 65536))]) if len(i) else np.empty(0, bool)
-            if ok.any():
-                found.append(np.unique(np.stack([key[i[ok]], key[j[ok]]]), axis=1))
-
-        short = (end - start) <= LIST_BLOCK
-        width = int((end - start)[short].max(initial=0))
-        run_of = np.repeat(np.arange(len(start)), end - start)
-        for step in range(1, width):  # short lists: all entries against the one so many places on
-            i = np.arange(len(tok) - step)
-            i = i[(run_of[i] == run_of[i + step]) & short[run_of[i]]]
-            test(i, i + step)
-        for s, e in zip(start[~short], end[~short], strict=True):
-            blocks = [(b, min(e, b + LIST_BLOCK)) for b in range(s, e, LIST_BLOCK)]
-            for x, (a, b) in enumerate(blocks):
-                one = group[a] if (group[a:b] == group[a]).all() else None
-                for c, d in blocks[x:]:
-                    if 100 * n[b - 1] < percent * n[c]:
-                        break  # sizes ascend: this and all later blocks are too large
-                    if one is not None and (group[c:d] == one).all():
-                        continue
-                    if min((n[a:b] - pos[a:b]).max(), (n[c:d] - pos[c:d]).max()) < _least(n[a : a + 1], n[c : c + 1], percent)[0]:
-                        continue
-                    i, j = np.divmod(np.arange((b - a) * (d - c)), d - c)
-                    i, j = i + a, j + c
-                    test(i[i < j], j[i < j])
+            ok = np.concatenate([(n[a] + n[b] - np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1)) // 2 >= _least(n[a], n[b], percent) for a, b in ((i[c : c + 65536], j[c : c + 65536]) for c in range(0, len(i), 65536))])
+            i, j = i[ok], j[ok]
+            if len(i):
+                found.append(np.unique(np.stack([key[i], key[j]]), axis=1))
+
+        _meet(tok, n, pos, group, percent, test)
         out = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.table({"x": out[0], "y": out[1]})
 
@@ -246,9 +276,12 @@ def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percen
             ok = pa.array([digest(np.frombuffer(s.as_buffer(), np.uint64)) == key for key, s in zip(b.column("key").to_pylist(), b.column("set"), strict=True)])
             yield b.filter(ok)
 
-    have = table(texts.mapInArrow(right, "key long, set binary"), "join-sets").dropDuplicates(["key"])
+    written = table(texts.mapInArrow(right, "key long, set binary"), "join-sets")
+    have = written.dropDuplicates(["key"])
     both = pairs.select("x", "y").join(have.select(F.col("key").alias("y"), F.col("set").alias("b")), "y").join(have.select(F.col("key").alias("x"), F.col("set").alias("a")), "x")
-    return table(both.select("x", "y", "a", "b").mapInArrow(_overlaps(percent), "u long, v long"), "join-links")
+    out = table(both.select("x", "y", "a", "b").mapInArrow(_overlaps(percent), "u long, v long"), "join-links")
+    drop(written)
+    return out
 
 
 def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -279,9 +312,12 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     links = linked(table(first.select("x", "y"), "join-first"), classes, docs, k, percent)
     group = components(links)
     entries = lists.where("kind = 0").select("tok", "x", "n", "pos").join(group.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
-    open_lists = entries.groupBy("tok").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("tok")
-    entries = entries.join(open_lists, "tok").join(classes.select(F.col("key").alias("x"), "bits"), "x").withColumn("shard", F.pmod(F.xxhash64("tok"), F.lit(4 * parts)))
-    rest = entries.select("shard", "tok", "x", "n", "pos", "component", "bits").groupBy("shard").applyInArrow(_rest(percent), "x long, y long").distinct()
+    entries = entries.withColumn("shard", F.pmod(F.xxhash64("tok"), F.lit(4 * parts))).select("shard", "tok", "x", "n", "pos", "component")
+    live = table(entries.groupBy("shard").applyInArrow(_live(percent), entries.schema), "join-live")
+    drop(lists)
+    about = live.select("x").distinct().join(classes.select(F.col("key").alias("x"), "bits"), "x")
+    rest = live.join(about, "x").select("shard", "tok", "x", "n", "pos", "component", "bits")
+    rest = table(rest.groupBy("shard").applyInArrow(_rest(percent), "x long, y long").distinct(), "join-rest")
     more = linked(table(rest, "join-rest"), classes, docs, k, percent)
     group = components(links.unionByName(more))
     named = group.join(classes.select(F.col("key").alias("node"), "rep"), "node")

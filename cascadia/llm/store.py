@@ -33,13 +33,22 @@ def table(df: DataFrame, name: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table that table() has written and that nothing lazy reads any more."""
+    for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        _delete(df.sparkSession, path)
+
+
 @contextmanager
 def stage(spark: SparkSession) -> Iterator[None]:
     """For a stage whose predecessor's result is already written out: deletes the tables that stages left before."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _left:
-        path = jvm.org.apache.hadoop.fs.Path(_left.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _left.pop())
     at = len(_written)
     try:
         yield
