@@ -34,6 +34,8 @@ BITS = 512
 BUFFER = 32 << 20
 #: Entries of a list that are skipped together.
 LIST_BLOCK = 64
+#: Of a set's lists so many, the first ones, tell whether a pair was met before.
+HEAD = 8
 
 
 def sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -221,19 +223,28 @@ def _live(percent: int):
 
 
 def _rest(percent: int):
-    """Pairs of a shard's lists that are not connected yet and that size, position and parity map do not rule out."""
+    """Pairs of a shard's lists that are not connected yet and that size, position and parity map do not rule out. A
+    pair whose sets have an earlier list in common among their first HEAD is left to that list."""
 
     def run(t: pa.Table) -> pa.Table:
         t = _sorted(t)
         tok, key, n, pos, group = (t.column(c).to_numpy() for c in ("tok", "x", "n", "pos", "component"))
         n, pos = n.astype(np.int64), pos.astype(np.int64)
         bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(tok), -1)
+        head = [t.column(f"h{p}") for p in range(HEAD)]
+        there = [h.is_valid().to_numpy() for h in head]
+        head = [h.fill_null(0).to_numpy() for h in head]
         found = [np.empty((2, 0), np.int64)]
 
         def test(i: np.ndarray, j: np.ndarray) -> None:
             # sets differ in as many elements as their parity maps in bits, at least
             ok = np.concatenate([(n[a] + n[b] - np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1)) // 2 >= _least(n[a], n[b], percent) for a, b in ((i[c : c + 65536], j[c : c + 65536]) for c in range(0, len(i), 65536))])
             i, j = i[ok], j[ok]
+            for a in range(HEAD):
+                for b in range(HEAD):
+                    if len(i):
+                        before = (head[a][i] == head[b][j]) & there[a][i] & there[b][j] & (a < pos[i]) & (b < pos[j])
+                        i, j = i[~before], j[~before]
             if len(i):
                 found.append(np.unique(np.stack([key[i], key[j]]), axis=1))
 
@@ -315,8 +326,9 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     entries = entries.withColumn("shard", F.pmod(F.xxhash64("tok"), F.lit(4 * parts))).select("shard", "tok", "x", "n", "pos", "component")
     live = table(entries.groupBy("shard").applyInArrow(_live(percent), entries.schema), "join-live")
     drop(lists)
-    about = live.select("x").distinct().join(classes.select(F.col("key").alias("x"), "bits"), "x")
-    rest = live.join(about, "x").select("shard", "tok", "x", "n", "pos", "component", "bits")
+    heads = live.where(F.col("pos") < HEAD).groupBy("x").agg(*(F.max(F.when(F.col("pos") == p, F.col("tok"))).alias(f"h{p}") for p in range(HEAD)))
+    about = live.select("x").distinct().join(classes.select(F.col("key").alias("x"), "bits"), "x").join(heads, "x", "left")
+    rest = live.join(about, "x").select("shard", "tok", "x", "n", "pos", "component", "bits", *(f"h{p}" for p in range(HEAD)))
     rest = table(rest.groupBy("shard").applyInArrow(_rest(percent), "x long, y long").distinct(), "join-rest")
     more = linked(table(rest, "join-rest"), classes, docs, k, percent)
     group = components(links.unionByName(more))
