@@ -28,8 +28,11 @@ from cascadia.llm.words import cut, mix, shingles, slices
 
 #: Counters of the corpus sketch, and into how many pieces it is cut on its way.
 SKETCH, PIECES = 1 << 20, 16
-#: Bits of a set's parity map, which bounds the overlap of two sets from above.
-BITS = 512
+#: Bits of a set's short parity map, which bounds the overlap of two sets from above; its long one has half as many
+#: bits as the set has elements, up to so many.
+BITS, LONG_BITS = 512, 1 << 24
+#: Bits of a filter on doc_ids, at most; eight for each doc_id. Beyond that texts are found by a join.
+MARKS = 1 << 26
 #: Bytes of packed list entries that a task gathers before it hands them on.
 BUFFER = 32 << 20
 #: Entries of a list that are skipped together.
@@ -52,28 +55,44 @@ def digest(s: np.ndarray) -> int:
     return int(mix(np.array([total], np.uint64), 12).view(np.int64)[0])
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """The long parity map: bit i is odd if the set has an odd number of elements that fall there. Maps of two lengths
+    compare once the longer one is folded."""
+    m = max(BITS, 1 << max(0, (len(s) // 2 - 1).bit_length()))
+    m = min(m, LONG_BITS)
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % m, minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def folded(x: np.ndarray, size: int) -> np.ndarray:
+    """A parity map of so many bytes from a longer one."""
+    return x if len(x) == size else np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
+
+
 def _scan(k: int):
-    """Rows of kind 0: doc_id, n, key (the digest), bits; of kind 1: pieces of the task's sketch."""
+    """Rows of kind 0: doc_id, n, key (the digest), bits (the short parity map) and long (the long one, null if it
+    is no longer); of kind 1: pieces of the task's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, kind = np.zeros(SKETCH, np.int64), None
         for b in slices(batches):
-            kind, n, key, bits = b.column("doc_id").type, [], [], []
+            kind, n, key, bits, long = b.column("doc_id").type, [], [], [], []
             for s in sets(b.column("text"), k):
                 n.append(len(s))
                 key.append(digest(s))
-                odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1
-                bits.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                odd = parity(s)
+                bits.append(folded(odd, BITS // 8).tobytes())
+                long.append(odd.tobytes() if len(odd) > BITS // 8 else None)
                 if len(s) > SKETCH >> 6:
                     sketch += np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
                 else:
                     sketch[(s % np.uint64(SKETCH)).astype(np.int64)] += 1  # two of a set in one counter count once: it is a sketch
             none = pa.nulls(b.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b.num_rows, np.int32)), b.column("doc_id"), pa.array(n, pa.int32()), pa.array(key, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(b.num_rows, pa.int32()), none], names=["kind", "doc_id", "n", "key", "bits", "piece", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b.num_rows, np.int32)), b.column("doc_id"), pa.array(n, pa.int32()), pa.array(key, pa.int64()), pa.array(bits, pa.binary()), pa.array(long, pa.binary()), pa.nulls(b.num_rows, pa.int32()), none], names=["kind", "doc_id", "n", "key", "bits", "long", "piece", "counts"])
         if kind is not None:
             size, task = SKETCH // PIECES, TaskContext.get().partitionId()
             data = [zlib.compress(np.minimum(sketch[i * size : (i + 1) * size], 0xFFFFFFFF).astype("<u4").tobytes(), 1) for i in range(PIECES)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(PIECES, np.int32)), pa.nulls(PIECES, kind), pa.array(np.full(PIECES, task, np.int32)), pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.binary()), pa.array(np.arange(PIECES, dtype=np.int32)), pa.array(data, pa.binary())], names=["kind", "doc_id", "n", "key", "bits", "piece", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(PIECES, np.int32)), pa.nulls(PIECES, kind), pa.array(np.full(PIECES, task, np.int32)), pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.binary()), pa.nulls(PIECES, pa.binary()), pa.array(np.arange(PIECES, dtype=np.int32)), pa.array(data, pa.binary())], names=["kind", "doc_id", "n", "key", "bits", "long", "piece", "counts"])
 
     return run
 
@@ -269,25 +288,68 @@ def _overlaps(percent: int):
     return run
 
 
-def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs of sets (x, y) those that are linked (u, v), by their shingles."""
-    need = pairs.select(F.col("x").alias("key")).union(pairs.select(F.col("y").alias("key"))).distinct()
-    need = need.join(classes.select("key", "rep"), "key")
+def _may(percent: int):
+    """Of pairs those that their long parity maps do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            least = _least(b.column("xn").to_numpy(), b.column("yn").to_numpy(), percent)
+            both = b.column("xn").to_numpy().astype(np.int64) + b.column("yn").to_numpy()
+            differ = np.empty(b.num_rows, np.int64)
+            for i, (x, y) in enumerate(zip(b.column("xmap"), b.column("ymap"), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                size = min(len(x), len(y))
+                differ[i] = np.bitwise_count((folded(x, size) ^ folded(y, size)).view(np.uint64)).sum()
+            ok = pa.array((both - differ) // 2 >= least)
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(ok) for c in ("x", "y", "times", "xrep", "yrep")], names=["x", "y", "times", "xrep", "yrep"])
+
+    return run
+
+
+def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Of pairs of sets (x, y, times) those that may be linked, with a document of each (xrep, yrep)."""
+    about = classes.select("key", "rep", "n", F.coalesce("long", "bits").alias("map"))
+    for side in ("x", "y"):
+        pairs = pairs.join(about.select(F.col("key").alias(side), F.col("rep").alias(f"{side}rep"), F.col("n").alias(f"{side}n"), F.col("map").alias(f"{side}map")), side)
+    kind = dict(classes.dtypes)["rep"]
+    return pairs.select("x", "y", "times", "xrep", "yrep", "xn", "yn", "xmap", "ymap").mapInArrow(_may(percent), f"x long, y long, times long, xrep {kind}, yrep {kind}")
+
+
+def _marked(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """doc_id and text of docs whose doc_id is among the n of ids (doc_id), and of few others."""
+    marks = 1 << max(16, (8 * n - 1).bit_length())
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(marks))
+    words = ids.groupBy(F.shiftright(slot("doc_id"), 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {marks}L) & 63 as int))")).alias("word")).toArrow()
+    held = np.zeros(marks >> 6, np.uint64)  # at most MARKS bits
+    held[words.column("at").to_numpy()] = words.column("word").to_numpy().view(np.uint64)
+    held = docs.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column("slot").to_numpy()
+            ok = held.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
+            yield b.select(["doc_id", "text"]).filter(pa.array(ok.astype(bool)))
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(run, f"doc_id {kind}, text string")
+
+
+def linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of pairs of sets (x, y), with a document of each (xrep, yrep), those that are linked (u, v), by their
+    shingles."""
+    need = pairs.select(F.col("xrep").alias("doc_id")).union(pairs.select(F.col("yrep").alias("doc_id"))).distinct()
+    n = need.count()
+    docs = docs.select("doc_id", "text")
+    # texts do not travel: their tasks make the sets
+    texts = _marked(docs, need, n) if 8 * n <= MARKS else docs.join(need.withColumnRenamed("doc_id", "wanted"), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            data = [s.tobytes() for s in sets(b.column("text"), k)]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(data, pa.binary())], names=["key", "set"])
+            found = list(sets(b.column("text"), k))
+            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["key", "set"])
 
     # repeated doc_ids may have other texts: the digest tells which is meant
-    texts = docs.select("doc_id", "text").join(need, F.col("doc_id") == F.col("rep")).select("key", "text")
-
-    def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in own(batches):
-            ok = pa.array([digest(np.frombuffer(s.as_buffer(), np.uint64)) == key for key, s in zip(b.column("key").to_pylist(), b.column("set"), strict=True)])
-            yield b.filter(ok)
-
-    written = table(texts.mapInArrow(right, "key long, set binary"), "join-sets")
+    written = table(texts.mapInArrow(own, "key long, set binary"), "join-sets")
     have = written.dropDuplicates(["key"])
     both = pairs.select("x", "y").join(have.select(F.col("key").alias("y"), F.col("set").alias("b")), "y").join(have.select(F.col("key").alias("x"), F.col("set").alias("a")), "x")
     out = table(both.select("x", "y", "a", "b").mapInArrow(_overlaps(percent), "u long, v long"), "join-links")
@@ -306,8 +368,8 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """
     spark = docs.sparkSession
     docs, parts = docs.select("doc_id", "text"), shards(spark)
-    scan = table(docs.mapInArrow(_scan(k), f"kind int, doc_id {dict(docs.dtypes)['doc_id']}, n int, key long, bits binary, piece int, counts binary"), "join-scan")
-    rows = scan.where("kind = 0").select("doc_id", "n", "key", "bits")
+    scan = table(docs.mapInArrow(_scan(k), f"kind int, doc_id {dict(docs.dtypes)['doc_id']}, n int, key long, bits binary, long binary, piece int, counts binary"), "join-scan")
+    rows = scan.where("kind = 0").select("doc_id", "n", "key", "bits", "long")
     pieces = scan.where("kind = 1").select("piece", F.pmod("n", F.lit(64)).alias("task"), "counts")
     pieces = pieces.groupBy("piece", "task").applyInArrow(_add, "piece int, counts binary").groupBy("piece").applyInArrow(_add, "piece int, counts binary")
     counts = np.zeros(SKETCH, np.uint32)
@@ -315,12 +377,13 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
         size = SKETCH // PIECES
         counts[r["piece"] * size : (r["piece"] + 1) * size] = np.frombuffer(zlib.decompress(r["counts"]), "<u4")
     sketch = spark.sparkContext.broadcast(counts)
-    classes = table(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "join-classes")
+    classes = table(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("long").alias("long")), "join-classes")
     packed = docs.mapInArrow(_prefixes(k, percent, parts, sketch), "shard int, data binary")
     lists = table(packed.groupBy("shard").applyInArrow(_lists(percent), "kind int, tok long, x long, y long, n int, pos int"), "join-lists")
-    # one check for each set, against the leader that it meets most often
-    first = lists.where("kind = 1").groupBy("y", "x").agg(F.sum("n").alias("times")).groupBy("y").agg(F.max_by("x", F.struct("times", "x")).alias("x"))
-    links = linked(table(first.select("x", "y"), "join-first"), classes, docs, k, percent)
+    # one check for each set, against the leader that it meets most often among those that parity maps leave
+    first = likely(lists.where("kind = 1").groupBy("y", "x").agg(F.sum("n").alias("times")), classes, percent)
+    first = first.groupBy("y").agg(F.max_by(F.struct("x", "xrep", "yrep"), F.struct("times", "x")).alias("best"))
+    links = linked(table(first.select("best.x", "y", "best.xrep", "best.yrep"), "join-first"), docs, k, percent)
     group = components(links)
     entries = lists.where("kind = 0").select("tok", "x", "n", "pos").join(group.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
     entries = entries.withColumn("shard", F.pmod(F.xxhash64("tok"), F.lit(4 * parts))).select("shard", "tok", "x", "n", "pos", "component")
@@ -329,8 +392,8 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     heads = live.where(F.col("pos") < HEAD).groupBy("x").agg(*(F.max(F.when(F.col("pos") == p, F.col("tok"))).alias(f"h{p}") for p in range(HEAD)))
     about = live.select("x").distinct().join(classes.select(F.col("key").alias("x"), "bits"), "x").join(heads, "x", "left")
     rest = live.join(about, "x").select("shard", "tok", "x", "n", "pos", "component", "bits", *(f"h{p}" for p in range(HEAD)))
-    rest = table(rest.groupBy("shard").applyInArrow(_rest(percent), "x long, y long").distinct(), "join-rest")
-    more = linked(table(rest, "join-rest"), classes, docs, k, percent)
+    rest = rest.groupBy("shard").applyInArrow(_rest(percent), "x long, y long").distinct().withColumn("times", F.lit(1).cast("long"))
+    more = linked(table(likely(rest, classes, percent).select("x", "y", "xrep", "yrep"), "join-rest"), docs, k, percent)
     group = components(links.unionByName(more))
     named = group.join(classes.select(F.col("key").alias("node"), "rep"), "node")
     roots = named.groupBy("component").agg(F.min("rep").alias("least"))

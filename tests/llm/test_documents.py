@@ -72,6 +72,29 @@ def test_set_join_against_brute_force(make):
     assert set_join.join(make([])).count() == 0
 
 
+def test_set_join_finds_texts_by_a_join_beyond_the_filter(make, monkeypatch):
+    long = " ".join(f"v{i}" for i in range(3000))
+    rows = [(5, long), (6, long + " end"), (6, "a b c d"), (None, long + " other end"), (None, "e f g"), (7, long[: len(long) // 2])]
+    results = []
+    for marks in (set_join.MARKS, 0):
+        monkeypatch.setattr(set_join, "MARKS", marks)
+        results.append(sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in set_join.join(make(rows)).collect()), key=str))
+    assert results[0] == results[1]
+    assert {(d, c) for d, n, c in results[0] if n > 2000} == {(5, 5), (6, 5), (None, 5)}
+    assert len(results[0]) == len(rows)
+
+
+def test_parity_maps_bound_the_overlap():
+    rng = np.random.default_rng(3)
+    for n, m, shared in ((10, 12, 5), (3000, 2900, 2850), (40_000, 700, 600), (5000, 5000, 5000), (2000, 2000, 0)):
+        both = np.unique(rng.integers(0, 1 << 63, n + m - shared, dtype=np.uint64))
+        x, y = both[:n], both[n - shared :]
+        a, b = set_join.parity(x), set_join.parity(y)
+        size = min(len(a), len(b))
+        differ = int(np.bitwise_count(set_join.folded(a, size) ^ set_join.folded(b, size)).sum())
+        assert (len(x) + len(y) - differ) // 2 >= len(np.intersect1d(x, y))
+
+
 def test_packing(make):
     rows = corpus(3)
     got = packing.pack(make(rows)).collect()
