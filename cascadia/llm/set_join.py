@@ -315,23 +315,15 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.select("x", "y", "times", "xrep", "yrep", "xn", "yn", "xmap", "ymap").mapInArrow(_may(percent), f"x long, y long, times long, xrep {kind}, yrep {kind}")
 
 
-def _marked(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """doc_id and text of docs whose doc_id is among the n of ids (doc_id), and of few others."""
+def _marks(ids: DataFrame, n: int):
+    """A filter that the n doc_ids of ids (doc_id) pass, and few others: the slot of a doc_id, and the bits by slot,
+    broadcast; at most MARKS of them."""
     marks = 1 << max(16, (8 * n - 1).bit_length())
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(marks))
-    words = ids.groupBy(F.shiftright(slot("doc_id"), 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {marks}L) & 63 as int))")).alias("word")).toArrow()
-    held = np.zeros(marks >> 6, np.uint64)  # at most MARKS bits
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(marks))
+    words = ids.withColumn("slot", slot).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("word")).toArrow()
+    held = np.zeros(marks >> 6, np.uint64)
     held[words.column("at").to_numpy()] = words.column("word").to_numpy().view(np.uint64)
-    held = docs.sparkSession.sparkContext.broadcast(held)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.column("slot").to_numpy()
-            ok = held.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
-            yield b.select(["doc_id", "text"]).filter(pa.array(ok.astype(bool)))
-
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(run, f"doc_id {kind}, text string")
+    return slot, ids.sparkSession.sparkContext.broadcast(held)
 
 
 def linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -339,14 +331,21 @@ def linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     shingles."""
     need = pairs.select(F.col("xrep").alias("doc_id")).union(pairs.select(F.col("yrep").alias("doc_id"))).distinct()
     n = need.count()
-    docs = docs.select("doc_id", "text")
-    # texts do not travel: their tasks make the sets
-    texts = _marked(docs, need, n) if 8 * n <= MARKS else docs.join(need.withColumnRenamed("doc_id", "wanted"), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+    if 8 * n <= MARKS:  # texts do not travel: the tasks that read them make the sets
+        slot, held = _marks(need, n)
+        texts = docs.select("text", slot.alias("slot"))
+    else:
+        texts, held = docs.join(need.withColumnRenamed("doc_id", "wanted"), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text"), None
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            found = list(sets(b.column("text"), k))
-            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["key", "set"])
+        for b in batches:
+            if held is not None:
+                at = b.column("slot").to_numpy()
+                ok = held.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
+                b = b.filter(pa.array(ok.astype(bool)))
+            for part in slices(iter([b])):
+                found = list(sets(part.column("text"), k))
+                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["key", "set"])
 
     # repeated doc_ids may have other texts: the digest tells which is meant
     written = table(texts.mapInArrow(own, "key long, set binary"), "join-sets")
