@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from cascadia.llm.components import components
 from cascadia.llm.store import drop, shards, table
-from cascadia.llm.words import cut, mix, shingles, slices
+from cascadia.llm.words import CHUNK, cut, mix, shingles, slices
 
 #: Counters of the corpus sketch, and into how many pieces it is cut on its way.
 SKETCH, PIECES = 1 << 20, 16
@@ -75,7 +75,7 @@ def _scan(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, kind = np.zeros(SKETCH, np.int64), None
-        for b in slices(batches):
+        for b in slices(batches, size=CHUNK):
             kind, n, key, bits, long = b.column("doc_id").type, [], [], [], []
             for s in sets(b.column("text"), k):
                 n.append(len(s))
@@ -125,7 +125,7 @@ def _prefixes(k: int, percent: int, parts: int, sketch):
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(data, pa.binary())], names=["shard", "data"])
                 held.clear()
 
-        for b in slices(batches):
+        for b in slices(batches, size=CHUNK):
             for s in sets(b.column("text"), k):
                 if not len(s) or (key := digest(s)) in done:
                     continue
@@ -343,7 +343,7 @@ def linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
                 at = b.column("slot").to_numpy()
                 ok = held.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
                 b = b.filter(pa.array(ok.astype(bool)))
-            for part in slices(iter([b])):
+            for part in slices(iter([b]), size=CHUNK):
                 found = list(sets(part.column("text"), k))
                 yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["key", "set"])
 
