@@ -7,8 +7,9 @@ that a pair on a list can still have, so whole blocks of a list are skipped.
 
 Answers are derived from those of similar sets. First each set is checked against one set only, the one with which it
 shares most lists among those that lead a list. Sets linked to a common leader are connected, whatever else they
-share, so that afterwards only pairs on a list that are not connected yet are looked at. Groups of near copies
-therefore cost one check per member, not one per pair.
+share, so that afterwards only pairs on a list that are not connected yet are looked at: first those of each set and
+the nearest ones that it meets, then all that are still not connected. Groups of near copies therefore cost some
+checks per member, not one per pair.
 """
 
 from __future__ import annotations
@@ -241,9 +242,10 @@ def _live(percent: int):
     return run
 
 
-def _rest(percent: int):
+def _rest(percent: int, nearest: bool = False):
     """Pairs of a shard's lists that are not connected yet and that size, position and parity map do not rule out. A
-    pair whose sets have an earlier list in common among their first HEAD is left to that list."""
+    pair whose sets have an earlier list in common among their first HEAD is left to that list. nearest: only those
+    with the nearest parity maps that a set meets in the shard."""
 
     def run(t: pa.Table) -> pa.Table:
         t = _sorted(t)
@@ -253,22 +255,27 @@ def _rest(percent: int):
         head = [t.column(f"h{p}") for p in range(HEAD)]
         there = [h.is_valid().to_numpy() for h in head]
         head = [h.fill_null(0).to_numpy() for h in head]
-        found = [np.empty((2, 0), np.int64)]
+        found = [np.empty((3, 0), np.int64)]
 
         def test(i: np.ndarray, j: np.ndarray) -> None:
             # sets differ in as many elements as their parity maps in bits, at least
-            ok = np.concatenate([(n[a] + n[b] - np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1)) // 2 >= _least(n[a], n[b], percent) for a, b in ((i[c : c + 65536], j[c : c + 65536]) for c in range(0, len(i), 65536))])
-            i, j = i[ok], j[ok]
+            differ = np.concatenate([np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1).astype(np.int64) for a, b in ((i[c : c + 65536], j[c : c + 65536]) for c in range(0, len(i), 65536))])
+            ok = (n[i] + n[j] - differ) // 2 >= _least(n[i], n[j], percent)
+            i, j, differ = i[ok], j[ok], differ[ok]
             for a in range(HEAD):
                 for b in range(HEAD):
                     if len(i):
                         before = (head[a][i] == head[b][j]) & there[a][i] & there[b][j] & (a < pos[i]) & (b < pos[j])
-                        i, j = i[~before], j[~before]
+                        i, j, differ = i[~before], j[~before], differ[~before]
             if len(i):
-                found.append(np.unique(np.stack([key[i], key[j]]), axis=1))
+                found.append(np.unique(np.stack([key[i], key[j], differ]), axis=1))
 
         _meet(tok, n, pos, group, percent, test)
         out = np.unique(np.concatenate(found, axis=1), axis=1)
+        if nearest:
+            end, pair = np.concatenate([out[0], out[1]]), np.tile(np.arange(out.shape[1]), 2)
+            order = np.lexsort((out[2][pair], end))
+            out = out[:, np.unique(pair[order[_runs(end[order])]])]
         return pa.table({"x": out[0], "y": out[1]})
 
     return run
@@ -390,10 +397,16 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     drop(lists)
     heads = live.where(F.col("pos") < HEAD).groupBy("x").agg(*(F.max(F.when(F.col("pos") == p, F.col("tok"))).alias(f"h{p}") for p in range(HEAD)))
     about = live.select("x").distinct().join(classes.select(F.col("key").alias("x"), "bits"), "x").join(heads, "x", "left")
-    rest = live.join(about, "x").select("shard", "tok", "x", "n", "pos", "component", "bits", *(f"h{p}" for p in range(HEAD)))
-    rest = rest.groupBy("shard").applyInArrow(_rest(percent), "x long, y long").distinct().withColumn("times", F.lit(1).cast("long"))
-    more = linked(table(likely(rest, classes, percent).select("x", "y", "xrep", "yrep"), "join-rest"), docs, k, percent)
-    group = components(links.unionByName(more))
+    known = table(live.join(about, "x").select("shard", "tok", "x", "n", "pos", "bits", *(f"h{p}" for p in range(HEAD))), "join-known")
+    # each set against the nearest that it meets, and then all pairs that are not connected by that
+    for nearest in (True, False):
+        now = known.join(group.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
+        rest = now.groupBy("shard").applyInArrow(_rest(percent, nearest), "x long, y long").distinct().withColumn("times", F.lit(1).cast("long"))
+        more = linked(table(likely(rest, classes, percent).select("x", "y", "xrep", "yrep"), "join-rest"), docs, k, percent)
+        links = links.unionByName(more)
+        if nearest:
+            group = components(links)
+    group = components(links)
     named = group.join(classes.select(F.col("key").alias("node"), "rep"), "node")
     roots = named.groupBy("component").agg(F.min("rep").alias("least"))
     whole = classes.select("key", "rep").join(group.withColumnRenamed("node", "key"), "key", "left").join(roots, "component", "left").select(F.col("key").alias("k"), F.coalesce("least", "rep").alias("component_id"))
