@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from cascadia.llm import mixing, packing, set_join, substrings, toxicity
 from cascadia.llm.store import stage
 
+#: The pipeline's near copies: so many per cent of their shingles of so many words are the same.
+WORDS, PERCENT = 5, 80
+
 
 def drop_toxic(spark, docs, sf_dir):
     """Documents whose toxicity score stays under their language's threshold."""
@@ -15,15 +18,20 @@ def drop_toxic(spark, docs, sf_dir):
         return toxicity.score(docs, model).where(~F.col("flagged")).select(*docs.columns)
 
 
-def one_of_each(spark, docs, sf_dir):
+def one_of_each(spark, docs, sf_dir, k=3, percent=90):
     """Of each group of linked documents the one with the smallest doc_id; of equal rows under one doc_id the first."""
     with stage(spark):
-        gone = set_join.join(docs).where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
+        gone = set_join.join(docs, k, percent).where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
         kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
         twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
         return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
+def without_near_copies(spark, docs, sf_dir):
+    """One document of each group that links by five words and a similarity of 0.8 connect."""
+    return one_of_each(spark, docs, sf_dir, WORDS, PERCENT)
+
+
 def without_repeats(spark, docs, sf_dir):
     """Documents without words that earlier ones have in passages of 13 words or more; those left empty by that go.
     Texts that lose nothing stay as they are; the words left of others are joined by single spaces."""

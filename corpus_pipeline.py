@@ -16,7 +16,7 @@ from cascadia.llm.store import shared_dir
 
 STAGES = [
     ("toxicity", stages.drop_toxic),
-    ("n-gram Jaccard join", stages.one_of_each),
+    ("n-gram Jaccard join", stages.without_near_copies),
     ("substring dedup", stages.without_repeats),
     ("mixing sources to target weights", stages.mixed),
     ("best-fit packing", stages.packed),
