@@ -9,6 +9,8 @@ round keeps the counts, and groups larger than a shard fill one shard after anot
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,99 @@ def quotas(asked: list[list[int]], free: list[int]) -> list[list[int]]:
             return moves
 
 
+def places(sizes: dict[int, int], room: list[int]) -> tuple[list[tuple[int, int, int, int, int, int]], list[int], int]:
+    """Shards for groups, of which there are sizes[c] of size c, the largest first: (c, groups from, to, rows from, to,
+    shard), the room left, and how many groups are split that the largest room could have held."""
+    room, most, found, late = room[:], max(room), [], []
+
+    def pour(c: int, g: int, at: int = 0) -> None:
+        while at < c:
+            fits = [b for b in range(len(room)) if room[b] >= c - at]
+            b = min(fits, key=lambda b: room[b]) if fits else max(range(len(room)), key=lambda b: room[b])
+            rows = min(room[b], c - at)
+            found.append((c, g, g + 1, at, at + rows, b))
+            room[b] -= rows
+            at += rows
+
+    for c in sorted(sizes, reverse=True):
+        if c > most:
+            for g in range(sizes[c]):
+                pour(c, g)
+            continue
+        fits = [r // c for r in room]
+        many = min(sizes[c], sum(fits))
+        take = [f * many // max(sum(fits), 1) for f in fits]
+        for _ in range(many - sum(take)):
+            take[max((b for b in range(len(room)) if take[b] < fits[b]), key=lambda b: room[b] - c * take[b])] += 1
+        g = 0
+        for b, t in enumerate(take):
+            if t:
+                found.append((c, g, g + t, 0, c, b))
+                room[b] -= c * t
+                g += t
+        late += [(c, x) for x in range(g, sizes[c])]
+    for c, g in late:
+        pour(c, g)
+    return found, room, len(late)
+
+
+def _at(xs: list[int]):
+    """Of xs the number of a row's shard."""
+    return F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("shard") + 1).cast("int"))
+
+
+def _fillers(state: DataFrame, leave: list[int], lack: list[int]) -> DataFrame:
+    """rid, target: so many documents without links of each shard, for the shards that lack some."""
+    n = len(leave)
+    singles = prefix(state.where("not linked").select("rid", "shard"), ["shard"], F.pmod(F.xxhash64("rid"), F.lit(1024)), ["rid"], "place")
+    turn = _at([sum(leave[:b]) for b in range(n)]) + F.col("place")
+    to = F.lit(n - 1)
+    for b in reversed(range(n)):
+        to = F.when(turn < sum(lack[: b + 1]), b).otherwise(to)
+    return singles.where(F.col("place") < _at(leave)).select("rid", to.cast("int").alias("target"))
+
+
+def _moved(state: DataFrame, targets: DataFrame) -> DataFrame:
+    return table(state.join(targets, "rid", "left").withColumn("shard", F.coalesce("target", "shard")).drop("target"), "shard-state")
+
+
+def _whole(state: DataFrame, n: int) -> DataFrame:
+    """The state with split groups that a shard could hold placed whole, as far as room allows; counts stay. What
+    comes to the driver are numbers of groups by size and shard."""
+    groups = table(state.where("linked").groupBy("key").agg(F.count("*").alias("c"), F.min("shard").alias("shard"), F.max("shard").alias("last")), "shard-groups")
+    split = F.col("shard") != F.col("last")
+    hist = groups.groupBy("c", F.when(split, -1).otherwise(F.col("shard")).alias("b")).count().collect()
+    rows, free = [0] * n, [0] * n
+    for r in state.groupBy("shard", "linked").count().collect():
+        rows[r["shard"]] += r["count"]
+        free[r["shard"]] += 0 if r["linked"] else r["count"]
+    if not any(r["b"] < 0 and r["c"] <= max(rows) for r in hist):
+        return state
+    room, torn, every = rows[:], Counter(), Counter()
+    for r in hist:
+        every[r["c"]] += r["count"]
+        if r["b"] < 0:
+            torn[r["c"]] += r["count"]
+        else:
+            room[r["b"]] -= r["c"] * r["count"]
+    found, left, late = places(torn, room)
+    late += sum(m for c, m in torn.items() if max(room) < c <= max(rows))
+    if late:  # whole groups stand in the way: all are placed anew if that leaves fewer split
+        anew = places(every, rows)
+        if anew[2] < late:
+            (found, left, _), split = anew, F.lit(True)
+    plan = state.sparkSession.createDataFrame(found, "c long, g0 long, g1 long, r0 long, r1 long, target int")
+    ranked = prefix(groups.where(split).select("key", "c"), ["c"], F.pmod(F.xxhash64("key"), F.lit(1024)), ["key"], "g")
+    ranked = table(ranked.join(F.broadcast(plan.withColumnRenamed("c", "of")), (F.col("c") == F.col("of")) & (F.col("g") >= F.col("g0")) & (F.col("g") < F.col("g1"))).select("key", "c", "r0", "r1", "target"), "shard-places")
+    whole = (F.col("r0") == 0) & (F.col("r1") == F.col("c"))
+    movers = state.join(ranked.where(whole).select("key", "target"), "key").select("rid", "target")
+    pieces = F.broadcast(ranked.where(~whole).select(F.col("key").alias("of"), "r0", "r1", "target"))
+    turns = prefix(state.join(F.broadcast(ranked.where(~whole).select("key").distinct()), "key").select("rid", "key"), ["key"], F.pmod(F.xxhash64("rid"), F.lit(1024)), ["rid"], "turn")
+    turns = turns.join(pieces, (F.col("key") == F.col("of")) & (F.col("turn") >= F.col("r0")) & (F.col("turn") < F.col("r1"))).select("rid", "target")
+    leave, lack = ([max(0, s * (f - x)) for f, x in zip(free, left, strict=True)] for s in (1, -1))
+    return _moved(state, movers.unionByName(turns).unionByName(_fillers(state, leave, lack)))
+
+
 def shard(docs: DataFrame, n: int = 8, rounds: int = ROUNDS) -> DataFrame:
     """Adds to docs' doc_id: size (UTF-8 bytes of the text plus 1), text_crc32, shard (0 to n - 1) and slot (gapless
     in the shard); counts of the shards differ by one at most.
@@ -63,7 +158,7 @@ def shard(docs: DataFrame, n: int = 8, rounds: int = ROUNDS) -> DataFrame:
             free[r["shard"]] = r["count"]
         counts = state.where("linked").groupBy("key", "shard").agg(F.count("*").alias("c"))
         held = F.array(*[F.lit(x) for x in full]).cast("array<int>")
-        best = F.expr("max_by(shard, struct(c, -shard))")
+        best = F.expr("max_by(shard, struct(c, xxhash64(key, shard)))")  # ties spread over the shards
         by_key = counts.where(~F.array_contains(held, F.col("shard"))).groupBy("key").agg(best.alias("target"), F.max("c").alias("there"))
         wish = counts.join(by_key, "key").where(~F.array_contains(held, F.col("shard")) & (F.col("target") != F.col("shard"))).select("key", "shard", "target", (F.col("there") - F.col("c") + 1).alias("gain"))
         asking = table(state.where("linked").select("rid", "key", "shard").join(wish, ["key", "shard"]).select("rid", "shard", "target", "gain"), "shard-asking")
@@ -79,18 +174,11 @@ def shard(docs: DataFrame, n: int = 8, rounds: int = ROUNDS) -> DataFrame:
         movers = ranked.where(F.col("place") < limit).select("rid", "target")
         gain = [sum(moves[a][b] for a in range(n)) - sum(moves[b]) for b in range(n)]
         leave, lack = [max(0, g) for g in gain], [max(0, -g) for g in gain]
-        singles = prefix(state.where("not linked").select("rid", "shard"), ["shard"], F.pmod(F.xxhash64("rid"), F.lit(1024)), ["rid"], "place")
-        at = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("shard") + 1).cast("int"))
-        turn = at([sum(leave[:b]) for b in range(n)]) + F.col("place")
-        to = F.lit(n - 1)
-        for b in reversed(range(n)):
-            to = F.when(turn < sum(lack[: b + 1]), b).otherwise(to)
-        fillers = singles.where(F.col("place") < at(leave)).select("rid", to.cast("int").alias("target"))
-        state = table(state.join(movers.unionByName(fillers), "rid", "left").withColumn("shard", F.coalesce("target", "shard")).drop("target"), "shard-state")
+        state = _moved(state, movers.unionByName(_fillers(state, leave, lack)))
         # a shard that no free document or asker can leave takes no more
         left = [free[b] - leave[b] for b in range(n)]
         full = [b for b in range(n) if left[b] + lack[b] == 0 and sum(asked[b]) == sum(moves[b])]
-    placed = prefix(state, ["shard"], F.pmod("mixed", F.lit(1024)), ["mixed", "rid"], "slot")
+    placed = prefix(_whole(state, n), ["shard"], F.pmod("mixed", F.lit(1024)), ["mixed", "rid"], "slot")
     return placed.select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
