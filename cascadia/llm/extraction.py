@@ -3,8 +3,9 @@
 A page is a sequence of blocks of text, each with the path of block-level tags from the root to it. For each path, text
 length and punctuation per block are aggregated; the ratios are smoothed along the page with a Gaussian kernel, fused
 by multiplication and compared with a share of their standard deviation. The paths above it are content; their common
-container (or the nearest article or main element) is taken whole, less what is boilerplate by its tag, role or class
-and less lists that are mostly links, so that short paragraphs and headings beside long ones stay.
+container (or the nearest article or main element) is taken whole, less what is boilerplate by its tag, role or whole
+class or id, so that short paragraphs, headings and lists of links beside long ones stay. Names of which only a word is
+known, and lists that are mostly links, are left out outside that container, or where it is the whole page.
 """
 
 from __future__ import annotations
@@ -17,10 +18,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 
-#: Elements without text of their own, or with text that is never content; skipped to their end tag.
-_RAW = "script|style|noscript|template|textarea|select|svg|math|iframe|object|canvas|audio|video|button|title"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])[^>]*+>(?:.*?</\1\s*+>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>|<[a-zA-Z][^>]*+>", re.S | re.I)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Elements with text that is never content, skipped to their end tag. Those of _TEXT have no tags within: without an
+#: end tag they take the rest of the page. Of the others without an end tag only the start tag is skipped.
+_TEXT = frozenset("script style textarea iframe title".split())
+_RAW = _TEXT | frozenset("noscript template select svg object canvas audio video button annotation annotation-xml".split())
+_START, _END = ({t: re.compile(rf"<{slash}{t}(?=[\s/>])[^>]*+>", re.I) for t in _RAW} for slash in ("", "/"))
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>|<([a-zA-Z][^\s/>]*+)[^>]*+>", re.S)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag ends open elements of these kinds, up to one of the second.
@@ -37,33 +41,60 @@ THRESHOLD = 0.8
 _KERNEL = np.array([0.25, 0.5, 0.25])
 
 
-def _boilerplate(tag: str, attributes: str) -> bool:
+#: Elements that names of which a word is known may rule out.
+_CONTAINERS = frozenset("div section ul ol dl table tbody tr td li details figure center".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+
+
+def _boilerplate(tag: str, attributes: str) -> int:
+    """2 for boilerplate, 1 for a container of which only a word of the name is known, else 0."""
     if tag in _DROPPED:
-        return True
+        return 2
+    found = 0
     if not attributes.strip():
-        return False
+        return found
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next(filter(None, values), "").lower()
         if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return 2
         if name == "role" and value.strip() in _ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "main"):
-            words = re.split(r"[^a-z0-9]+", value)
-            if any(map(_NAMES.match, words)) and not (tag == "article" and not any(w.startswith(("comment", "repl")) for w in words)):
-                return True
-    return False
+            return 2
+        if name not in ("class", "id") or tag in ("html", "body", "main") or tag in _HEADINGS:
+            continue
+        talk = any(w.startswith(("comment", "repl")) for w in re.split(r"[^a-z0-9]+", value))
+        # ids of sections and paragraphs are made of their headings
+        if tag == "article" and not talk or name == "id" and (tag not in _CONTAINERS or tag == "section" and not talk):
+            continue
+        if any(map(_NAMES.match, value.split())):
+            return 2
+        if tag in _CONTAINERS and any(map(_NAMES.match, re.split(r"[^a-z0-9]+", value))):
+            found = 1
+    return found
+
 
+def _after(page: str, at: int, tag: str, attributes: str, gone: set[str]) -> int:
+    """Where the page goes on after the start tag, ending at at, of an element of _RAW; gone: those known to have no
+    end tag from here on."""
+    closed = attributes.endswith("/") and not re.search(r"=\s*[^\s\"'>]*/$", attributes)
+    if closed and tag not in _TEXT:
+        return at
+    end = None if tag in gone else _END[tag].search(page, at)
+    if end is None:
+        gone.add(tag)
+        return len(page) if tag in _TEXT and not closed else at
+    # browsers ignore the slash here; an end tag of a later element isn't this one's
+    return at if closed and _START[tag].search(page, at, end.start()) else end.end()
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
-    """(path, text, characters in links, boilerplate) of every block with text, in page order."""
+
+def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, int]]:
+    """(path, text, characters in links, boilerplate as above) of every block with text, in page order."""
     found, stack, pieces = [], [], []  # stack: (tag, name in paths, boilerplate)
     links = anchors = serial = 0
 
     def close() -> None:
         nonlocal links
         if text := " ".join("".join(pieces).split()):
-            found.append((tuple(x[1] for x in stack if x[1]), text, links, bool(stack) and stack[-1][2]))
+            found.append((tuple(x[1] for x in stack if x[1]), text, links, stack[-1][2] if stack else 0))
         pieces.clear()
         links = 0
 
@@ -82,15 +113,17 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
             if anchors:
                 links += len(piece.strip())
 
-    at = 0
-    for m in _TOKEN.finditer(page):
+    at, gone = 0, set()
+    while m := _TOKEN.search(page, at):
         add(page[at : m.start()])
         at = m.end()
-        tag = m[3]
-        if tag is None:
+        tag = (m[2] or m[4] or "").lower()
+        if tag in _RAW and not m[1]:
+            at = _after(page, at, tag, m[3] or "", gone)
+            continue
+        if m[2] is None or tag in _RAW:
             continue
-        tag = tag.lower()
-        if m[2]:
+        if m[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     pop(k)
@@ -110,9 +143,12 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
                     if stack[k][0] in stop:
                         break
             close()
-        if tag in _VOID or m[4].endswith("/") and tag not in _BLOCKS:
+        if tag in _VOID or m[3].endswith("/") and tag not in _BLOCKS:
             continue
-        bad = bool(stack) and stack[-1][2] or _boilerplate(tag, m[4])
+        above = stack[-1][2] if stack else 0
+        if above == 1 and tag in ("article", "main"):
+            above = 0
+        bad = max(above, _boilerplate(tag, m[3]))
         # containers are told apart, leaves of the same kind are not
         name = ""
         if tag in _BLOCKS:
@@ -125,13 +161,10 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
     return found
 
 
-def main_text(page: str | None) -> str:
-    """The main text of one page: its blocks, each with single spaces, joined by blank lines; empty if it has none."""
-    if not page:
-        return ""
-    seen = [x for x in blocks(page) if not x[3]]
+def _content(seen: list[tuple[tuple[str, ...], str, int, int]]) -> tuple[tuple[str, ...], set[tuple[str, ...]]] | None:
+    """The path of the container of content, and the paths of lists that are mostly links; None without content."""
     if not seen:
-        return ""
+        return None
     total = defaultdict(lambda: [0, 0, 0, 0])
     for path, text, links, _ in seen:
         t = total[path]
@@ -148,7 +181,7 @@ def main_text(page: str | None) -> str:
     line = THRESHOLD * fused.std()
     chosen = [p for p, score in best.items() if score >= line and total[p][1] >= total[p][3]]
     if not chosen:
-        return ""
+        return None
     top = max(chosen, key=lambda p: total[p][1])
     semantic = [k for k, name in enumerate(top) if name.split("#")[0] in ("article", "main")]
     if semantic:
@@ -157,8 +190,20 @@ def main_text(page: str | None) -> str:
         heavy = [p for p in chosen if best[p] >= 0.25 * best[top]]
         n = next((k for k in range(min(map(len, heavy))) if len({p[k] for p in heavy}) > 1), min(map(len, heavy)))
         root = top[: min(n, len(top) - 1)]
-    kept = [text for path, text, links, _ in seen if path[: len(root)] == root and not (total[path][3] > 0.6 * (total[path][1] + total[path][3]) and total[path][0] > 1)]
-    return "\n\n".join(kept)
+    return root, {p for p, t in total.items() if t[3] > 0.6 * (t[1] + t[3]) and t[0] > 1}
+
+
+def main_text(page: str | None) -> str:
+    """The main text of one page: its blocks, each with single spaces, joined by blank lines; empty if it has none."""
+    if not page:
+        return ""
+    kept = [x for x in blocks(page) if x[3] < 2]
+    found = next(filter(None, (_content([x for x in kept if x[3] <= most]) for most in (0, 1))), None)
+    if not found:
+        return ""
+    root, lists = found
+    inner = any(name.split("#")[0] in _CONTAINERS | {"article", "main"} for name in root)
+    return "\n\n".join(text for path, text, _, bad in kept if path[: len(root)] == root and (inner or not (bad or path in lists)))
 
 
 def extract(pages):
