@@ -19,12 +19,23 @@ def drop_toxic(spark, docs, sf_dir):
 
 
 def one_of_each(spark, docs, sf_dir, k=3, percent=90):
-    """Of each group of linked documents the one with the smallest doc_id; of equal rows under one doc_id the first."""
+    """Of each group of linked documents the row with the smallest doc_id (null last); of equal rows one. Rows without
+    words are no copies: of those only equal texts under one doc_id, not null, leave one."""
     with stage(spark):
-        gone = set_join.join(docs, k, percent).where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-        kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-        twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
-        return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+        worded = F.coalesce(F.col("text").rlike(mixing.WORD), F.lit(False))
+        rows = docs.withColumn("_worded", worded)
+        for i, c in enumerate(("_a", "_b")):  # 128 bits that equal rows share
+            rows = rows.withColumn(c, F.when(F.col("_worded"), F.xxhash64(F.lit(i), *docs.columns)).otherwise(F.xxhash64(F.lit(i), "doc_id", "text")))
+        # the join orders rows by this in place of the doc_id, so that every row has a name of its own
+        named = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_a").alias("a"), F.col("_b").alias("b"))
+        found = set_join.join(rows.select(named.alias("doc_id"), "text"), k, percent)
+        gone = found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id.a").alias("_a"), F.col("doc_id.b").alias("_b")).distinct()
+        kept = rows.join(gone, ["_a", "_b"], "left_anti")
+        same = rows.where("_worded or doc_id is not null")
+        if not same.groupBy("_a", "_b").count().where("count > 1").isEmpty():
+            own = F.when(F.col("_worded") | F.col("doc_id").isNotNull(), -1).otherwise(F.monotonically_increasing_id())
+            kept = kept.withColumn("_own", own).dropDuplicates(["_a", "_b", "_own"])
+        return kept.select(*docs.columns)
 
 
 def without_near_copies(spark, docs, sf_dir):

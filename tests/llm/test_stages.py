@@ -4,6 +4,7 @@ import random
 import re
 
 import corpus_pipeline
+from cascadia.llm import stages
 
 RX = re.compile("[^\x20\x09-\x0d]+")
 
@@ -41,3 +42,17 @@ def test_near_copies_by_five_words_and_four_fifths(make, spark):
     stage = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
     got = sorted(r["doc_id"] for r in stage(spark, make(rows), "").collect())
     assert got == sorted({rows[u][0] for u in up})
+
+
+def test_one_of_each_with_repeated_and_null_ids(make, spark):
+    rng = random.Random(12)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(100))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(3, b), (5, a), (5, b), (6, c), (6, c + " end"), (None, d), (None, d), (None, d + " end"), (None, e), (9, e + " end")]
+    rows += [(7, ""), (7, ""), (None, None), (None, None), (8, " ")]
+    got = [(r["doc_id"], r["text"]) for r in stages.one_of_each(spark, make(rows), "").collect()]
+    assert [x for x in got if x[1] and x[1].startswith((a, b))] in ([(3, b), (5, a)], [(5, a), (3, b)])
+    assert [x[0] for x in got if x[1] and x[1].startswith(c)] == [6]
+    assert [x[0] for x in got if x[1] and x[1].startswith(d)] == [None]
+    assert [x for x in got if x[1] and x[1].startswith(e)] == [(9, e + " end")]
+    assert sorted((x for x in got if not (x[1] or "").strip()), key=str) == sorted([(7, ""), (None, None), (None, None), (8, " ")], key=str)
