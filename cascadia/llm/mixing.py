@@ -21,10 +21,10 @@ GOLDEN = 2654435769
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words (null text: 0), mixed: 32 bits of a hash of the doc_id, text."""
+def sized(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size in words (null text: 0), mixed: 32 bits of a hash of the doc_id, text; and other columns."""
     mixed = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), mixed.alias("mixed"))
+    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), mixed.alias("mixed"), *also)
 
 
 def targets(rows: DataFrame, cycle: int = 3, most: int = 3) -> DataFrame:
@@ -64,26 +64,27 @@ def schedule(plan: DataFrame) -> DataFrame:
     return ranked.select("j", "s", block_no.alias("block_no"), F.when(ends, F.least(whole, last)).otherwise(whole).cast("long").alias("words"))
 
 
-def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, also: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(documents, schedule). documents: doc_id, source, size, source_size, target and taken, the words that the mix
     takes of it, repeats counted; a document's words are taken in full rounds, but for one document of each source
     of which the last round takes the first words.
 
     A null or empty text has size 0 and is taken 0 times. A null source is a source, the last. Repeated doc_ids and
     rows are documents of their own. Sources without words have target 0. An empty table gives no rows.
+    also: other columns of docs that documents have too; they settle the order of rows that else are equal.
     """
-    rows = table(sized(docs), "mix-rows")
+    rows = table(sized(docs, also), "mix-rows")
     plan = table(targets(rows), "mix-plan")
     slots = schedule(plan)
     rows = rows.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of", "words")
     empty = rows.where("size = 0")
-    placed = prefix(rows.where("size > 0"), ["s"], F.shiftright("mixed", 20), ["mixed", "doc_id", "size"], "at", F.col("size"))
+    placed = prefix(rows.where("size > 0"), ["s"], F.shiftright("mixed", 20), ["mixed", "doc_id", "size", *also], "at", F.col("size"))
     cut = placed.withColumn("block_no", F.explode(F.sequence(F.floor(F.col("at") / F.col("block")), F.floor((F.col("at") + F.col("size") - 1) / F.col("block")))))
     use = slots.select("s", "block_no", F.col("words").alias("upto"))
     start = F.col("block_no") * F.col("block")
     words = F.greatest(F.lit(0), F.least(F.col("at") + F.col("size"), start + F.coalesce("upto", F.lit(0))) - F.greatest(F.col("at"), start))
-    taken = cut.join(use, ["s", "block_no"], "left").groupBy("doc_id", "source", "size", "source_size", "target", "s", "at").agg(F.sum(words).cast("long").alias("taken"))
-    both = taken.drop("s", "at").unionByName(empty.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
+    taken = cut.join(use, ["s", "block_no"], "left").groupBy("doc_id", "source", "size", "source_size", "target", "s", "at", *also).agg(F.sum(words).cast("long").alias("taken"))
+    both = taken.drop("s", "at").select("doc_id", "source", "size", "source_size", "target", "taken", *also).unionByName(empty.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), *also))
     return both, slots
 
 

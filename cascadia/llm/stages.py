@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cascadia.llm import mixing, packing, set_join, substrings, toxicity
-from cascadia.llm.store import stage
+from cascadia.llm.store import stage, table
 
 #: The pipeline's near copies: so many per cent of their shingles of so many words are the same.
 WORDS, PERCENT = 5, 80
@@ -63,12 +63,16 @@ def without_repeats(spark, docs, sf_dir):
 def mixed(spark, docs, sf_dir):
     """Documents as often as the mix takes them; a last copy of which it takes the first words only has those."""
     with stage(spark):
-        taken = mixing.mix(docs)[0].select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-        taken = taken.where("_taken > 0").dropDuplicates(["_id", "_source", "_size"])
-        same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-        out = docs.join(taken, same & (F.regexp_count("text", F.lit(mixing.WORD)).cast("long") == F.col("_size")))
-        part = F.col("_taken") % F.col("_size")
-        copies = F.floor(F.col("_taken") / F.col("_size")) + F.when(part > 0, 1).otherwise(0)
+        # rows of one name are equal: full copies add up, and at most one of them has a part
+        rows = docs.withColumn("_one", F.xxhash64(F.lit(0), *docs.columns)).withColumn("_two", F.xxhash64(F.lit(1), *docs.columns))
+        taken = mixing.mix(rows, ("_one", "_two"))[0].where("taken > 0").groupBy("_one", "_two")
+        full, part = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
+        taken = table(taken.agg(F.count("*").alias("_rows"), F.sum(full).alias("_full"), F.max(part).alias("_part")), "mix-taken")
+        if not taken.where("_rows > 1").isEmpty():
+            rows = rows.dropDuplicates(["_one", "_two"])
+        out = rows.join(taken, ["_one", "_two"])
+        part = F.col("_part")
+        copies = F.col("_full") + F.when(part > 0, 1).otherwise(0)
         out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
         short = (F.col("_copy") == copies) & (part > 0)
         words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({mixing.WORD})"), F.lit(1)), F.lit(1), part.cast("int")), " ")

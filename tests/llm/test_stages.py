@@ -2,9 +2,10 @@
 
 import random
 import re
+from collections import Counter
 
 import corpus_pipeline
-from cascadia.llm import stages
+from cascadia.llm import mixing, stages
 
 RX = re.compile("[^\x20\x09-\x0d]+")
 
@@ -56,3 +57,19 @@ def test_one_of_each_with_repeated_and_null_ids(make, spark):
     assert [x[0] for x in got if x[1] and x[1].startswith(d)] == [None]
     assert [x for x in got if x[1] and x[1].startswith(e)] == [(9, e + " end")]
     assert sorted((x for x in got if not (x[1] or "").strip()), key=str) == sorted([(7, ""), (None, None), (None, None), (8, " ")], key=str)
+
+
+def test_mixed_takes_each_row_by_itself(make, spark):
+    rows = [(None, f"{c} " * 20 + c, "a") for c in "pqrstuvw"] + [(None, "same text", "a")] * 3 + [(i, "word " * 9, "bc"[i % 2]) for i in range(40)]
+    docs = make(rows)
+    out = [r["text"].split() for r in stages.mixed(spark, docs, "").collect()]
+    want, got = Counter(), Counter()
+    for r in mixing.mix(docs)[0].collect():
+        want[r["source"]] += r["taken"]
+    for r in stages.mixed(spark, docs, "").collect():
+        got[r["source"]] += len(r["text"].split())
+    assert got == want
+    assert sum(map(len, out)) == sum(want.values())
+    # the mix takes each text of a source in full rounds, but for one
+    rounds = {c: sum(w == [c] * 21 for w in out) for c in "pqrstuvw"}
+    assert max(rounds.values()) - min(rounds.values()) <= 1
