@@ -5,6 +5,10 @@ nearness by distance. A table's bucket is the tuple of cells, each WIDTH wide, i
 query's buckets in a table are visited in the order of the estimated probability that a neighbour at the distance
 sought falls into them, until these sum up to the share wanted: a neighbour's projection is normal about the query's
 own, scaled by their cosine. Candidates of all tables are merged and ranked by the exact product.
+
+The likeliest buckets of each table go first, a block of each; the k-th best score found there bounds the true one from
+below, and what the other blocks and buckets then hand on are only candidates that reach it. With the square root of
+all blocks asked in the first round, both rounds hand on about as much. No block is left out.
 """
 
 from __future__ import annotations
@@ -25,8 +29,10 @@ TABLES, WIDTH = 3, 1.5
 SOUGHT = 0.97
 #: Rows of the sample from which that distance and a floor of the scores are taken.
 SAMPLE = 4096
-#: Rows of an index bucket in one task, and rows a bucket should have.
-BLOCK, FILL = 1024, 2048
+#: Rows of a bucket and probes of it that meet in one group, rows a bucket should have, and both that a task gathers.
+BLOCK, PROBES, FILL, GATHER = 1024, 4096, 2048, 32_768
+#: Rounding of a product of two vectors, as a share of their lengths' product.
+SLACK = 1e-9
 
 _erf = np.vectorize(erf, otypes=[float])
 
@@ -50,6 +56,10 @@ def _number(z: np.ndarray) -> np.ndarray:
     return out
 
 
+def _blocks(n, size: int):
+    return F.ceil(n / size).cast("int")
+
+
 def probes(f: np.ndarray, b: np.ndarray, cosine: float, share: float) -> np.ndarray:
     """Buckets of one table for a query with projections f, likeliest first, until their probabilities sum to share."""
     spread = sqrt(max(1e-6, 1 - cosine * cosine))
@@ -91,12 +101,13 @@ def search(df: DataFrame, queries, k: int = 20, sought: float = SOUGHT) -> DataF
     1), vec_id and score, the inner product in double precision.
 
     Vectors that are null, zero, or hold null or non-finite components, and those with another number of components
-    than most, take no part, neither as queries nor as candidates. Rows with one vec_id count once as candidates and
-    once as queries. With k candidates or fewer all of them are found. Of equal vectors the k + 1 smallest vec_ids
+    than most, take no part, neither as queries nor as candidates; nor do null vec_ids. Rows with one vec_id count once
+    as candidates and once as queries, with the vector whose key is smallest. With k candidates or fewer all of them are found. Of equal vectors the k + 1 smallest vec_ids
     stand for all, which loses no answer. An empty table gives no rows. Other columns are ignored.
     """
     spark = df.sparkSession
-    rows = load(df, "vec_id").where("key is not null and vec_id is not null").dropDuplicates(["vec_id"])
+    rows = load(df, "vec_id").where("key is not null and vec_id is not null")
+    rows = rows.groupBy("vec_id").agg(F.min(F.struct("key", "vec", "norm")).alias("one")).select("vec_id", "one.vec", "one.key", "one.norm")
     rows = table(rows, "ann-rows")
     dims = rows.groupBy(F.length("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
     d = dims["d"] if dims else 8
@@ -112,7 +123,6 @@ def search(df: DataFrame, queries, k: int = 20, sought: float = SOUGHT) -> DataF
     base, base_id = matrix(some.column("vec")), some.column("vec_id").to_numpy()
     order = max(1, ceil(k * len(base_id) / max(1, n)))
     share = 1 - (1 - sought) ** (1 / TABLES)
-    parts = shards(spark)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -134,12 +144,12 @@ def search(df: DataFrame, queries, k: int = 20, sought: float = SOUGHT) -> DataF
             # the sample's k-th score bounds the true one from below; the one of the k-th's rank in the sample is near it
             floor = s[:, k - 1] if s.shape[1] >= k else np.full(len(ids), -np.inf)
             aim = s[:, min(order, s.shape[1]) - 1]
-            row, band, tab, cell = [], [], [], []
+            row, band, tab, cell, turn, most = [], [], [], [], [], []
             unit = np.hstack([x / norm[:, None], np.zeros((len(x), 1))])
             f = np.einsum("nd,tkd->ntk", unit, a)
             for i in range(len(ids)):
                 for e, (top, count) in bands.items():
-                    if n > k + 1 and floor[i] > top * norm[i]:
+                    if n > k + 1 and floor[i] > top * norm[i] * (1 + SLACK):
                         continue  # nothing in this band reaches the floor
                     cosine = min(0.999, max(0.0, aim[i] / (top * norm[i]))) if np.isfinite(aim[i]) else 0.0
                     for j in range(TABLES):
@@ -148,25 +158,33 @@ def search(df: DataFrame, queries, k: int = 20, sought: float = SOUGHT) -> DataF
                         band.append(np.full(len(got), e, np.int32))
                         tab.append(np.full(len(got), j, np.int32))
                         cell.append(got)
+                        turn.append(np.arange(len(got), dtype=np.int32))
+                        most.append(np.full(len(got), top * norm[i]))
             row = np.concatenate(row) if row else np.empty(0, np.int64)
             cat = lambda xs, kind: pa.array(np.concatenate(xs) if xs else [], kind)
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([cat(band, pa.int32()), cat(tab, pa.int32()), cat(cell, pa.int64()), t.column("vec_id").take(at), t.column("vec").take(at), pa.array(floor[row])], names=["band", "tab", "cell", "query_id", "vec", "floor"])
+            yield pa.RecordBatch.from_arrays([cat(band, pa.int32()), cat(tab, pa.int32()), cat(cell, pa.int64()), cat(turn, pa.int32()), cat(most, pa.float64()), t.column("vec_id").take(at), t.column("vec").take(at), pa.array(floor[row])], names=["band", "tab", "cell", "turn", "most", "query_id", "vec", "floor"])
 
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     posts = table(index.select("band", "vec_id", "vec").mapInArrow(put, "band int, tab int, cell long, vec_id long, vec binary"), "ann-posts")
-    sizes = posts.groupBy("band", "tab", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    unit = F.pmod(F.xxhash64("band", "tab", "cell", "block"), F.lit(4 * parts))
-    stored = posts.join(sizes, ["band", "tab", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("shard", unit)
-    probing = asked.select("vec_id", "vec").mapInArrow(ask, "band int, tab int, cell long, query_id long, vec binary, floor double")
-    probing = probing.join(sizes, ["band", "tab", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("shard", unit)
+    probing = table(asked.select("vec_id", "vec").mapInArrow(ask, "band int, tab int, cell long, turn int, most double, query_id long, vec binary, floor double"), "ann-probes")
+    cell_of = ["band", "tab", "cell"]
+    # a bucket that many ask for is copied for each block of its probes
+    asks = probing.groupBy(*cell_of).agg(_blocks(F.count("*"), PROBES).alias("ask_blocks"))
+    sizes = table(posts.groupBy(*cell_of).agg(_blocks(F.count("*"), BLOCK).alias("blocks")).join(asks, cell_of), "ann-sizes")
+    probing = probing.join(sizes, cell_of).withColumn("ask_block", F.pmod(F.xxhash64("query_id"), F.col("ask_blocks")).cast("int"))
+    stored = posts.join(sizes, cell_of).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    stored = stored.withColumn("ask_block", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    own = F.pmod(F.xxhash64(F.lit(1), "query_id"), F.col("blocks")).cast("int")  # the block that a query looks at first
+    least = (F.col("floor") - F.col("most") * SLACK).alias("floor")
+    place = [*cell_of, "block", "ask_block"]
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys = ("band", "tab", "cell", "block")
         where = {}
         for side, t in enumerate((left, right)):
-            for i, key in enumerate(zip(*(t.column(c).to_pylist() for c in keys), strict=True)):
+            for i, key in enumerate(zip(*(t.column(c).to_pylist() for c in place), strict=True)):
                 where.setdefault(key, ([], []))[side].append(i)
         x, y = matrix(left.column("vec")), matrix(right.column("vec"))
         ids, asks, floor = left.column("vec_id").to_numpy(), right.column("query_id").to_numpy(), right.column("floor").to_numpy()
@@ -178,7 +196,7 @@ def search(df: DataFrame, queries, k: int = 20, sought: float = SOUGHT) -> DataF
             for at in range(0, len(probes_at), 2048):
                 some = np.array(probes_at[at : at + 2048])
                 score = y[some] @ x[stored_at].T
-                score[(asks[some][:, None] == ids[stored_at][None, :]) | (score < floor[some][:, None] - 1e-9)] = -np.inf
+                score[(asks[some][:, None] == ids[stored_at][None, :]) | (score < floor[some][:, None])] = -np.inf
                 i, j = np.nonzero(score > -np.inf)
                 exact = np.concatenate([np.einsum("nd,nd->n", y[some[i[c : c + 65536]]], x[stored_at[j[c : c + 65536]]]) for c in range(0, len(i), 65536)]) if len(i) else np.empty(0)
                 best = _best(asks[some][i], ids[stored_at[j]], exact, k)
@@ -189,10 +207,26 @@ def search(df: DataFrame, queries, k: int = 20, sought: float = SOUGHT) -> DataF
         best = _best(q, v, s, k)
         return pa.table({"query_id": q[best], "vec_id": v[best], "score": s[best]})
 
-    found = stored.select("shard", "band", "tab", "cell", "block", "vec_id", "vec").groupBy("shard").cogroup(probing.select("shard", "band", "tab", "cell", "block", "query_id", "vec", "floor").groupBy("shard")).applyInArrow(meet, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def best(asking: DataFrame, groups: int) -> DataFrame:
+        """query_id, vec_id, score: for each query (query_id, vec, floor, and the place that it asks) what it finds."""
+        unit = F.pmod(F.xxhash64(*place), F.lit(groups)).alias("shard")
+        left, right = stored.select(unit, *place, "vec_id", "vec"), asking.select(unit, *place, "query_id", "vec", "floor")
+        return left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(meet, "query_id long, vec_id long, score double")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        return found.where(F.col("rank") <= k)
+
+    r = probing.agg(F.countDistinct("query_id"), F.sum("blocks")).first()
+    turns = max(1, round(sqrt((r[1] or 0) / max(1, r[0])) / TABLES))
+    at_first = probing.where(F.col("turn") < turns).select(*cell_of, "ask_block", "query_id", "vec", least, own.alias("block"))
+    first = table(ranked(best(at_first, shards(spark, posts.count() + turns * TABLES * r[0], GATHER))), "ann-first")
+    floors = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
+    later = probing.join(floors, "query_id", "left").withColumn("floor", F.greatest("floor", "reached")).where(F.col("floor") <= F.col("most") * (1 + SLACK))
+    later = later.select(*cell_of, "turn", "ask_block", "query_id", "vec", least, own.alias("own"), every).where((F.col("turn") >= turns) | (F.col("block") != F.col("own")))
+    rest = best(later, shards(spark, posts.count() + (r[1] or 0), GATHER))
+    return ranked(first.select("query_id", "vec_id", "score").unionByName(rest)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op9_neighbours(spark, sf_dir):

@@ -57,6 +57,8 @@ def stage(spark: SparkSession) -> Iterator[None]:
         del _written[at:]
 
 
-def shards(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions: into how many parts packed payloads are dealt."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def shards(spark: SparkSession, rows: int = 0, fill: int = 1) -> int:
+    """Into how many groups packed payloads are dealt: the session's number of shuffle partitions, or four times as
+    many and more where each would else have over fill of the rows."""
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(4 * parts, -(-(rows or 0) // fill)) if fill > 1 else parts
