@@ -60,6 +60,81 @@ def test_near_vectors(spark):
     assert near_vectors.near(table(spark, [])).count() == 0
 
 
+def linked(rows, cosine=0.98):
+    """(vec_id, n_links, component_id, kept) of each row by comparing all pairs."""
+    unit = [np.array(v, float) / np.linalg.norm(v) if v and label is not None and None not in v and 0 < np.linalg.norm(v) < np.inf else None for _, v, label in rows]
+    links = [[j for j in range(len(rows)) if j != i and unit[i] is not None and unit[j] is not None and rows[i][2] == rows[j][2] and unit[i] @ unit[j] >= cosine] for i in range(len(rows))]
+    up = list(range(len(rows)))
+    for _ in rows:
+        for i, own in enumerate(links):
+            up[i] = min([up[i], *(up[j] for j in own)])
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[up[i]] = min(least.get(up[i], r[0]), r[0])
+    return sorted(((r[0], len(own), least.get(u), r[0] == least.get(u)) for r, own, u in zip(rows, links, up, strict=True)), key=str)
+
+
+def test_near_vectors_with_null_and_repeated_ids(spark):
+    x = np.random.default_rng(9).normal(size=(6, 8)).tolist()
+    bent = (np.array(x[0]) + 0.02 * np.array(x[1])).tolist()
+    rows = [(7, x[0], 0), (3, bent, 0), (7, x[2], 0)]  # one id, in one label: a linked vector and one without links
+    rows += [(7, x[3], 1), (5, x[3], 1), (7, x[4], 2)]  # the same id in other labels
+    rows += [(None, x[0], 0), (None, x[1], 1), (None, x[1], 1), (None, x[5], 3), (11, x[5], 3), (None, None, 0), (None, x[5], None)]
+    rows += [(20, x[0], 4), (20, x[0], 4)]
+    extra = [(*r, "a", 1, 2) for r in rows]
+    df = spark.createDataFrame(extra, "vec_id long, embedding array<double>, label int, key string, rep int, node int")
+    assert sorted(map(tuple, near_vectors.near(df).collect()), key=str) == linked(rows)
+
+
+def test_near_vectors_in_tiles_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    base = rng.normal(size=(3, 8))
+    rows = [(i, (base[i % 3] + rng.normal(size=8) * 0.12).tolist(), "ab"[i % 5 == 0]) for i in range(400)]
+    monkeypatch.setattr(near_vectors, "BLOCK", 50)
+    monkeypatch.setattr(near_vectors, "TILE", 16)
+    got = sorted(map(tuple, near_vectors.near(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()), key=str)
+    want = linked(rows)
+    assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True)) and sum(g[1] for g in got) >= 0.98 * sum(w[1] for w in want)
+    assert [g[0] for g in got if g[3]] == [w[0] for w in want if w[3]]
+
+
+def test_near_vectors_of_other_lengths(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (3, [1.0, 0.0, 0.0], 0), (4, [], 0)]
+    got = sorted(map(tuple, near_vectors.near(table(spark, rows)).collect()))
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
+
+
+def test_neighbours_with_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(size=4).tolist(), 0) for i in range(200)]
+    rows += [(20, rng.normal(size=4).tolist(), 0), (None, [9.0] * 4, 0), (300, [1.0] * 5, 0), (301, None, 0), (20, rows[20][1], 0)]
+    rows += [(400 + i, rows[40][1], 0) for i in range(30)]  # ties
+    extra = spark.createDataFrame([(*r, "b", "c", 1.5) for r in rows], "vec_id long, embedding array<double>, label int, key string, vec string, score double")
+    runs = [sorted(map(tuple, neighbours.search(extra, F.col("vec_id") % 20 == 0, 20, 0.9999999).collect())) for _ in range(2)]
+    assert runs[0] == runs[1]
+    vectors_of = {}
+    for i, v, _ in rows:
+        if i is not None and v and len(v) == 4:
+            vectors_of.setdefault(i, []).append(np.array(v))
+    first = {(r[0], r[2]): r[3] for r in runs[0]}
+    assert {q for q, _ in first} == {i for i in vectors_of if i % 20 == 0}
+    for q in sorted({q for q, _ in first} - {20}):
+        options = [{i: max(float(x @ vectors_of[q][0]) for x in (own if i != 20 else [v])) for i, own in vectors_of.items() if i != q} for v in vectors_of[20]]
+        best = [[(i, s) for i, s in sorted(o.items(), key=lambda x: (-x[1], x[0]))[:20]] for o in options]
+        got = [(r[2], r[3]) for r in runs[0] if r[0] == q]
+        assert any([i for i, _ in b] == [i for i, _ in got] and np.allclose([s for _, s in b], [s for _, s in got]) for b in best)
+
+
+def test_neighbours_in_blocks(spark, monkeypatch):
+    rows = vectors(2)
+    whole = sorted(map(tuple, neighbours.search(table(spark, rows), F.col("vec_id") % 20 == 0, 20).collect()))
+    monkeypatch.setattr(neighbours, "BLOCK", 40)
+    monkeypatch.setattr(neighbours, "PROBES", 7)
+    monkeypatch.setattr(neighbours, "GATHER", 50)
+    assert sorted(map(tuple, neighbours.search(table(spark, rows), F.col("vec_id") % 20 == 0, 20).collect())) == whole
+
+
 def test_neighbours(spark):
     rows = vectors(1)
     got = neighbours.search(table(spark, rows), F.col("vec_id") % 20 == 0, 20).collect()
