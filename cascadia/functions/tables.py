@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests, local mode) a folder of our own."""
+    """spark.checkpoint.dir of the session; where it is unset in local mode (tests) a folder of our own. Elsewhere
+    executors would not share that one, so it raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir, a folder that driver and executors share, must be set on {master}")
         found = "file://" + tempfile.mkdtemp(prefix="cascadia-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
