@@ -18,6 +18,8 @@ from cascadia.llm.store import table
 SLOTS = 1 << 17
 #: The golden ratio's fraction in units of 2 ** -32.
 GOLDEN = 2654435769
+#: Bits of a cell of slots.
+CELL = 6
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -44,7 +46,8 @@ def targets(rows: DataFrame, cycle: int = 3, most: int = 3) -> DataFrame:
 
 
 def schedule(plan: DataFrame) -> DataFrame:
-    """The slots of the mix in order: j, s, block_no, and words, how many of the block's first words the slot takes."""
+    """The slots of the mix: j, their order, s, turn (how often the source has been through before), block_no, and
+    words, how many of the block's first words the slot takes."""
     n = plan.where("words > 0").withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")))
     n = n.withColumn("slots", F.floor(F.col("words") / F.col("source_size")) * F.col("blocks") + F.ceil((F.col("words") % F.col("source_size")) / F.col("block")))
     upto = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
@@ -54,14 +57,17 @@ def schedule(plan: DataFrame) -> DataFrame:
     spots = every.select("all", F.explode(F.sequence(F.lit(0), F.floor(F.col("all") * 3 / 4096).cast("int"))).alias("chunk"))
     points = spots.repartition(F.col("chunk")).select("all", "chunk", F.explode(F.sequence(F.lit(0), F.lit(4095))).alias("i")).select("chunk", "all", (F.col("chunk").cast("long") * 4096 + F.col("i")).alias("j"))
     points = points.withColumn("spot", F.shiftright((F.col("j") * GOLDEN) % (1 << 32) * F.col("all"), 32))
+    # points and sources meet in cells of the slots' line, so that many sources do not make a nested loop
     own = n.select("s", "slots", "blocks", "block", "words", "source_size", "to", (F.col("to") - F.col("slots")).alias("from"))
-    points = points.join(F.broadcast(own), (F.col("spot") >= F.col("from")) & (F.col("spot") < F.col("to")))
+    own = own.withColumn("cell", F.explode(F.sequence(F.shiftright("from", CELL), F.shiftright(F.col("to") - 1, CELL))))
+    points = points.withColumn("cell", F.shiftright("spot", CELL)).join(own.hint("merge"), "cell").where((F.col("spot") >= F.col("from")) & (F.col("spot") < F.col("to")))
     ranked = prefix(points.select("j", "chunk", "s", "slots", "blocks", "block", "words", "source_size"), ["s"], F.col("chunk"), ["j"], "r").where("r < slots")
     block_no = F.col("r") % F.col("blocks")
     whole = F.least(F.col("block"), F.col("source_size") - block_no * F.col("block"))
     last = F.col("words") % F.col("source_size") - block_no * F.col("block")
-    ends = F.floor(F.col("r") / F.col("blocks")) == F.floor(F.col("words") / F.col("source_size"))
-    return ranked.select("j", "s", block_no.alias("block_no"), F.when(ends, F.least(whole, last)).otherwise(whole).cast("long").alias("words"))
+    turn = F.floor(F.col("r") / F.col("blocks"))
+    ends = turn == F.floor(F.col("words") / F.col("source_size"))
+    return ranked.select("j", "s", turn.alias("turn"), block_no.alias("block_no"), F.when(ends, F.least(whole, last)).otherwise(whole).cast("long").alias("words"))
 
 
 def mix(docs: DataFrame, also: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -71,11 +77,12 @@ def mix(docs: DataFrame, also: tuple[str, ...] = ()) -> tuple[DataFrame, DataFra
 
     A null or empty text has size 0 and is taken 0 times. A null source is a source, the last. Repeated doc_ids and
     rows are documents of their own. Sources without words have target 0. An empty table gives no rows.
-    also: other columns of docs that documents have too; they settle the order of rows that else are equal.
+    also: other columns of docs that documents have too; they settle the order of rows that else are equal. Documents
+    with them also have s and first_block, the block in which they start: with turn, these lead to a copy's slot.
     """
     rows = table(sized(docs, also), "mix-rows")
     plan = table(targets(rows), "mix-plan")
-    slots = schedule(plan)
+    slots = table(schedule(plan), "mix-slots")
     rows = rows.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of", "words")
     empty = rows.where("size = 0")
     placed = prefix(rows.where("size > 0"), ["s"], F.shiftright("mixed", 20), ["mixed", "doc_id", "size", *also], "at", F.col("size"))
@@ -83,9 +90,13 @@ def mix(docs: DataFrame, also: tuple[str, ...] = ()) -> tuple[DataFrame, DataFra
     use = slots.select("s", "block_no", F.col("words").alias("upto"))
     start = F.col("block_no") * F.col("block")
     words = F.greatest(F.lit(0), F.least(F.col("at") + F.col("size"), start + F.coalesce("upto", F.lit(0))) - F.greatest(F.col("at"), start))
-    taken = cut.join(use, ["s", "block_no"], "left").groupBy("doc_id", "source", "size", "source_size", "target", "s", "at", *also).agg(F.sum(words).cast("long").alias("taken"))
-    both = taken.drop("s", "at").select("doc_id", "source", "size", "source_size", "target", "taken", *also).unionByName(empty.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), *also))
-    return both, slots
+    taken = cut.join(use.hint("merge"), ["s", "block_no"], "left").groupBy("doc_id", "source", "size", "source_size", "target", "s", "at", *also).agg(F.sum(words).cast("long").alias("taken"))
+    names = ["doc_id", "source", "size", "source_size", "target"]
+    more = [*also, "s", "at", "first_block"] if also else []
+    taken = taken.join(plan.select("s", "block"), "s").withColumn("first_block", F.floor(F.col("at") / F.col("block"))) if also else taken
+    none = F.lit(0).cast("long")
+    empty = empty.withColumn("at", none).withColumn("first_block", none)
+    return taken.select(*names, "taken", *more).unionByName(empty.select(*names, none.alias("taken"), *more)), slots
 
 
 def op6_mixing(spark, sf_dir):

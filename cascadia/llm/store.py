@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cascadia.functions.tables import shared_dir
+
 _written: list[str] = []
 _left: list[str] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests, local mode) a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="cascadia-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def table(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage ends here, and a lost executor costs
     no more than the tasks it had."""
@@ -46,9 +39,12 @@ def drop(df: DataFrame) -> None:
 
 @contextmanager
 def stage(spark: SparkSession) -> Iterator[None]:
-    """For a stage whose predecessor's result is already written out: deletes the tables that stages left before."""
+    """For a stage whose predecessor's result is already written out: deletes the tables that stages left before, and
+    lets go of their plans, broadcasts and shuffle files, which Spark cleans up after a collection alone."""
     while _left:
         _delete(spark, _left.pop())
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     at = len(_written)
     try:
         yield
