@@ -18,6 +18,10 @@ from cascadia.functions.prefix import prefix
 from cascadia.llm.store import table
 
 ROUNDS = 6
+#: Stretches into which running numbers are cut, and rows of a group of copies that go to one task in a join.
+BUCKETS, SALTED = 1 << 14, 2048
+#: Groups with more than one row in so many are joined by broadcast at first: there are fewer of them than that.
+HOT = 1000
 
 
 def quotas(asked: list[list[int]], free: list[int]) -> list[list[int]]:
@@ -83,10 +87,19 @@ def _at(xs: list[int]):
     return F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("shard") + 1).cast("int"))
 
 
+def _salts(copies):
+    """Into how many parts a group's rows are dealt, so that a hot one does not meet its target in one task."""
+    return F.ceil(F.coalesce(copies, F.lit(1)) / SALTED).cast("int")
+
+
+def _each_salt(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+
+
 def _fillers(state: DataFrame, leave: list[int], lack: list[int]) -> DataFrame:
     """rid, target: so many documents without links of each shard, for the shards that lack some."""
     n = len(leave)
-    singles = prefix(state.where("not linked").select("rid", "shard"), ["shard"], F.pmod(F.xxhash64("rid"), F.lit(1024)), ["rid"], "place")
+    singles = prefix(state.where("not linked").select("rid", "shard"), ["shard"], F.pmod(F.xxhash64("rid"), F.lit(BUCKETS)), ["rid"], "place")
     turn = _at([sum(leave[:b]) for b in range(n)]) + F.col("place")
     to = F.lit(n - 1)
     for b in reversed(range(n)):
@@ -124,12 +137,12 @@ def _whole(state: DataFrame, n: int) -> DataFrame:
         if anew[2] < late:
             (found, left, _), split = anew, F.lit(True)
     plan = state.sparkSession.createDataFrame(found, "c long, g0 long, g1 long, r0 long, r1 long, target int")
-    ranked = prefix(groups.where(split).select("key", "c"), ["c"], F.pmod(F.xxhash64("key"), F.lit(1024)), ["key"], "g")
+    ranked = prefix(groups.where(split).select("key", "c"), ["c"], F.pmod(F.xxhash64("key"), F.lit(BUCKETS)), ["key"], "g")
     ranked = table(ranked.join(F.broadcast(plan.withColumnRenamed("c", "of")), (F.col("c") == F.col("of")) & (F.col("g") >= F.col("g0")) & (F.col("g") < F.col("g1"))).select("key", "c", "r0", "r1", "target"), "shard-places")
     whole = (F.col("r0") == 0) & (F.col("r1") == F.col("c"))
-    movers = state.join(ranked.where(whole).select("key", "target"), "key").select("rid", "target")
+    movers = state.join(_each_salt(ranked.where(whole).select("key", "target", _salts(F.col("c")).alias("salts"))), ["key", "salt"]).select("rid", "target")
     pieces = F.broadcast(ranked.where(~whole).select(F.col("key").alias("of"), "r0", "r1", "target"))
-    turns = prefix(state.join(F.broadcast(ranked.where(~whole).select("key").distinct()), "key").select("rid", "key"), ["key"], F.pmod(F.xxhash64("rid"), F.lit(1024)), ["rid"], "turn")
+    turns = prefix(state.join(F.broadcast(ranked.where(~whole).select("key").distinct()), "key").select("rid", "key"), ["key"], F.pmod(F.xxhash64("rid"), F.lit(BUCKETS)), ["rid"], "turn")
     turns = turns.join(pieces, (F.col("key") == F.col("of")) & (F.col("turn") >= F.col("r0")) & (F.col("turn") < F.col("r1"))).select("rid", "target")
     leave, lack = ([max(0, s * (f - x)) for f, x in zip(free, left, strict=True)] for s in (1, -1))
     return _moved(state, movers.unionByName(turns).unionByName(_fillers(state, leave, lack)))
@@ -147,21 +160,25 @@ def shard(docs: DataFrame, n: int = 8, rounds: int = ROUNDS) -> DataFrame:
         docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("key")).withColumn("mixed", F.xxhash64("doc_id", "key")),
         "shard-rows",
     )
-    rows = prefix(rows, [], F.pmod("mixed", F.lit(1024)), ["mixed", "doc_id"], "rid")
-    groups = rows.groupBy("key").agg(F.count("*").alias("copies"))
-    # copies are counted by (key, shard) below; here the rows that have none are marked
-    state = table(rows.join(groups.where("copies > 1").select("key", F.lit(True).alias("linked")), "key", "left").withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("shard", F.pmod("rid", F.lit(n)).cast("int")), "shard-state")
+    rows = prefix(rows, [], F.pmod("mixed", F.lit(BUCKETS)), ["mixed", "doc_id"], "rid")
+    rows = table(rows, "shard-numbered")
+    groups = table(rows.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1"), "shard-copies")
+    hot = F.col("copies") * HOT > rows.count()
+    large = groups.where(hot)  # fewer than HOT rows
+    marked = rows.join(F.broadcast(large), "key").unionByName(rows.join(F.broadcast(large.select("key")), "key", "left_anti").join(groups.where(~hot), "key", "left"), allowMissingColumns=True)
+    salts = _salts(F.col("copies"))
+    state = table(marked.withColumn("linked", F.col("copies").isNotNull()).withColumn("salts", salts).withColumn("salt", F.pmod("rid", salts).cast("int")).withColumn("shard", F.pmod("rid", F.lit(n)).cast("int")).drop("copies"), "shard-state")
     full: list[int] = []
     for _ in range(rounds):
         free = [0] * n
         for r in state.where("not linked").groupBy("shard").count().collect():
             free[r["shard"]] = r["count"]
-        counts = state.where("linked").groupBy("key", "shard").agg(F.count("*").alias("c"))
+        counts = state.where("linked").groupBy("key", "shard").agg(F.count("*").alias("c"), F.max("salts").alias("salts"))
         held = F.array(*[F.lit(x) for x in full]).cast("array<int>")
         best = F.expr("max_by(shard, struct(c, xxhash64(key, shard)))")  # ties spread over the shards
         by_key = counts.where(~F.array_contains(held, F.col("shard"))).groupBy("key").agg(best.alias("target"), F.max("c").alias("there"))
-        wish = counts.join(by_key, "key").where(~F.array_contains(held, F.col("shard")) & (F.col("target") != F.col("shard"))).select("key", "shard", "target", (F.col("there") - F.col("c") + 1).alias("gain"))
-        asking = table(state.where("linked").select("rid", "key", "shard").join(wish, ["key", "shard"]).select("rid", "shard", "target", "gain"), "shard-asking")
+        wish = counts.join(by_key, "key").where(~F.array_contains(held, F.col("shard")) & (F.col("target") != F.col("shard"))).select("key", "shard", "target", (F.col("there") - F.col("c") + 1).alias("gain"), "salts")
+        asking = table(state.where("linked").select("rid", "key", "shard", "salt").join(_each_salt(wish), ["key", "shard", "salt"]).select("rid", "shard", "target", "gain"), "shard-asking")
         asked = [[0] * n for _ in range(n)]
         for r in asking.groupBy("shard", "target").count().collect():
             asked[r["shard"]][r["target"]] = r["count"]
@@ -178,7 +195,7 @@ def shard(docs: DataFrame, n: int = 8, rounds: int = ROUNDS) -> DataFrame:
         # a shard that no free document or asker can leave takes no more
         left = [free[b] - leave[b] for b in range(n)]
         full = [b for b in range(n) if left[b] + lack[b] == 0 and sum(asked[b]) == sum(moves[b])]
-    placed = prefix(_whole(state, n), ["shard"], F.pmod("mixed", F.lit(1024)), ["mixed", "rid"], "slot")
+    placed = prefix(_whole(state, n), ["shard"], F.pmod("mixed", F.lit(BUCKETS)), ["mixed", "rid"], "slot")
     return placed.select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
