@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,9 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("-k", type=int, default=64)
         c.add_argument("-l", type=int, default=64)
         c.add_argument("-seed", type=int, default=SEED)
+        c.add_argument("-t", dest="threads", type=int, help="shuffle partitions; threads are Spark's")
+        c.add_argument("-numa", type=int, help="accepted and not used: executors are placed by the cluster")
+        c.add_argument("-v", dest="silent", action="store_true", help="print no summary")
         c.add_argument("-os", dest="statistics", help="folder for the statistics")
     one, two = sub.choices["maximize"], sub.choices["oracle"]
     one.add_argument("-N", dest="seeds", type=int, default=0)
@@ -46,16 +50,23 @@ def parser() -> argparse.ArgumentParser:
 def run(spark: SparkSession, arguments: list[str]) -> DataFrame:
     """What the command prints, as a DataFrame."""
     a = parser().parse_args(arguments)
+    if a.threads:
+        spark.conf.set("spark.sql.shuffle.partitions", str(a.threads))
     options = {"transpose": a.transpose, "drop_parallel": a.drop_parallel} | ({"directed": False} if a.undirected else {})
     graph = READERS[a.kind](spark, a.input, **options)
+    arcs = graph.arcs.count()
     if a.command == "maximize":
         seeds = settle(maximize(graph, a.model, a.seeds, a.k, a.l, a.leval, a.seed, a.probability), "seeds")
         if a.statistics:
-            report.seed_statistics(seeds).write.text(a.statistics)
+            report.seed_statistics(seeds, graph.n, arcs).write.text(a.statistics)
         if a.coverage:
             report.coverage(seeds, graph.n).write.text(a.coverage)
+        if not a.silent:
+            print("\n".join(report.summary(seeds, graph.n, arcs, a.seed)))
         return quality_gap(seeds)
+    began = time.time()
     index = settle(sketch.build(graph, a.model, a.k, a.l, a.seed, a.probability), "index")
+    spent = 1000 * (time.time() - began)
     if a.every:
         every = sketch.estimate_all(index, graph.n, a.k, a.l)
         if a.statistics:
@@ -64,10 +75,15 @@ def run(spark: SparkSession, arguments: list[str]) -> DataFrame:
     sizes, leval = sampling.parse_ranges(a.sizes), a.leval or a.l
     seeds = settle(sampling.uniform(spark, graph.n, sizes, a.queries) if a.method == "uni" else sampling.neighborhood(graph, sizes, a.queries), "sets")
     live = settle(live_edges(graph, a.model, leval, a.seed, a.probability), "live")
-    queries, averages = influence.benchmark(index, live, seeds, graph.n, a.k, a.l, leval)
+    queries, averages = influence.benchmark(index, live, seeds, graph.n, a.k, a.l, leval, times=bool(a.statistics))
     if a.statistics:
-        report.query_statistics(queries, averages).write.text(a.statistics)
-    return averages
+        size = sketch.sizes(index).first()
+        totals = {
+            "NumberOfVertices": graph.n, "NumberOfArcs": arcs, "PreprocessingElapsedMilliseconds": spent, "NumberOfQueries": a.queries,
+            "SeedGenerator": a.method, "SeedSizeRange": a.sizes, "TotalSketchesSize": size["entries"], "TotalSketchesBytes": size["bytes"],
+        }
+        report.query_statistics(queries, averages, totals).write.text(a.statistics)
+    return averages.select("size", "queries", "estimate", "exact", "error")
 
 
 def main() -> None:

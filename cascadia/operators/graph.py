@@ -40,7 +40,8 @@ class Graph:
         if not directed:
             arcs = arcs.unionByName(arcs.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         if n is None:
-            n = (arcs.agg(F.max(F.greatest("src", "dst"))).first()[0] or -1) + 1
+            top = arcs.agg(F.max(F.greatest("src", "dst"))).first()[0]
+            n = 0 if top is None else top + 1
         return Graph(arcs, n, directed)
 
     @staticmethod
@@ -70,7 +71,7 @@ class Graph:
         return self.arcs.groupBy("src").agg(F.count("*").alias("outdeg"))
 
     def statistics(self) -> DataFrame:
-        """One row: n, arcs, self_loops, out_of_range, parallel (arcs beyond the first of a pair), min_id, max_id."""
+        """One row: n, arcs, self_loops, out_of_range, parallel (arcs beyond the first of a pair)."""
         return self.arcs.groupBy("src", "dst").agg(F.count("*").alias("m")).agg(
             F.lit(self.n).cast("long").alias("n"),
             F.coalesce(F.sum("m"), F.lit(0)).alias("arcs"),

@@ -1,7 +1,10 @@
-"""Greedy influence maximisation with sketches of what is not covered yet."""
+"""Greedy influence maximisation by ranks taken in ascending order."""
 
 from __future__ import annotations
 
+import time
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,62 +13,84 @@ from cascadia.operators.graph import Graph
 from cascadia.operators.influence import cumulative, marginals
 from cascadia.operators.live import INSTANCES, SEED, live_edges
 from cascadia.operators.ranks import stratified
-from cascadia.operators.reach import reach
-from cascadia.operators.sketch import combined, per_instance
+from cascadia.operators.reach import LOCAL, largest, pack, reach, spread
+from cascadia.operators.sketch import per_instance
 
-#: Sketches hold this many times k ranks, so that they serve several steps.
-SPARE = 4
+#: The share of all ranks that is taken at first; it doubles as long as no vertex has k of them.
+FIRST = 1 / 256
+#: Tables of covered pairs that are read side by side before they are written as one.
+TABLES = 16
 
 
 def maximize(graph: Graph, model: str = "weighted", n_seeds: int = 0, k: int = 64, l: int = INSTANCES, leval: int = 0, seed: int = SEED, p: float = 0.1, strategy: str = "auto", ranks: DataFrame | None = None) -> DataFrame:  # noqa: E741
-    """step (from 1), v, est, exact, saturated, cum_est, cum_exact of a greedy sequence of n_seeds seeds (0: n).
+    """step (from 1), v, est, exact, saturated, cum_est, cum_exact of a greedy sequence of n_seeds seeds (0: n), and
+    sketch_ms and exact_ms, the time spent on estimates and on exact influence up to then, and ranks_used.
 
     A seed is the vertex whose k-th smallest uncovered reachable rank is smallest, estimated to add (k - 1) n / (that
     rank + 1). Once no vertex has k uncovered pairs left, sizes are exact and the largest wins. Ties go to the
     smallest vertex; the sequence ends early when all is covered. What a seed reaches counts as exact in the sketches'
     own instances, or, with leval, in as many others.
 
-    Sketches keep SPARE * k ranks and are built anew, without the covered pairs, only when one that was cut off has
-    fewer than k uncovered ranks left; so every choice is as with complete information. One row a step comes to the
-    driver.
+    Only ranks below a bound are followed back to the vertices that reach them; the bound doubles when no vertex has k
+    of them. What reaches an uncovered pair is uncovered itself, so entries found stay right until their own pair is
+    covered, and each rank is followed once. One row a step comes to the driver.
     """
     if k < 2:
         raise ValueError("k is 2 at least")
     spark, n = graph.arcs.sparkSession, graph.n
     live = settle(live_edges(graph, model, l, seed, p), "live")
     ranks = settle(ranks if ranks is not None else stratified(spark, n, l).select("v", "i", "rank"), "ranks")
-    covered = settle(spark.createDataFrame([], "i int, v long"), "covered")
-    sketch = None
+    total = ranks.agg(F.max("rank")).first()[0]
+    total = 0 if total is None else total + 1
+    packed = settle(pack(live), "packed") if strategy == "worlds" or strategy == "auto" and largest(live) <= LOCAL else None
+    covered: list[DataFrame] = []
+    entries, upto = None, 0
     chosen: list[tuple] = []
+    spent = [0.0, 0.0]
+
+    def open_pairs(low: int, high: int) -> DataFrame:
+        """The pairs with ranks from low to high that are not covered."""
+        found = ranks.where((F.col("rank") >= low) & (F.col("rank") < high)).select("v", "i", "rank")
+        return found.join(reduce(DataFrame.unionByName, covered), ["i", "v"], "left_anti") if covered else found
+
     while len(chosen) < (n_seeds or n):
-        for attempt in range(2):
-            if sketch is None:
-                left = ranks.join(covered, ["i", "v"], "left_anti")
-                arcs = live.join(covered.withColumnRenamed("v", "dst"), ["i", "dst"], "left_anti").select("i", "src", "dst")
-                sketch = settle(combined(per_instance(arcs, left.select("v", "i", "rank"), SPARE * k, strategy), SPARE * k), "spare")
-            gone = ranks.join(covered, ["i", "v"]).select("rank")
-            open_ranks = sketch.join(gone, "rank", "left_anti")
-            per = sketch.groupBy("u").agg((F.count("*") == SPARE * k).alias("cut"))
-            held = open_ranks.groupBy("u").agg(F.count("*").alias("size"), F.sort_array(F.collect_list("rank")).alias("ranks")).join(per, "u", "right")
-            held = held.select("u", F.coalesce("size", F.lit(0)).alias("size"), F.when(F.col("size") >= k, F.element_at("ranks", k)).alias("kth"), "cut")
-            r = held.agg(F.min(F.when(F.col("cut") & (F.col("size") < k), 1)).alias("short"), F.min(F.struct("kth", "u")).alias("any"), F.min(F.when(F.col("kth").isNotNull(), F.struct("kth", "u"))).alias("best"), F.max(F.struct("size", -F.col("u"))).alias("most")).first()
-            if r["short"] is None or attempt:
+        began = time.time()
+        while True:
+            r = None
+            if entries is not None:
+                per = entries.groupBy("u").agg(F.count("*").alias("size"), F.when(F.count("*") >= k, F.element_at(F.sort_array(F.collect_list("rank")), k)).alias("kth"))
+                r = per.agg(F.min(F.when(F.col("kth").isNotNull(), F.struct("kth", "u"))).alias("best"), F.max(F.struct("size", -F.col("u"))).alias("most")).first()
+            if upto >= total or r is not None and r["best"] is not None:
                 break
-            sketch = None  # a sketch that was cut off ran out: what is left of it is unknown
-        if r["best"] is not None:
-            u, value, saturated = r["best"]["u"], (k - 1) * n / (r["best"]["kth"] + 1), False
-        elif r["most"] is not None and r["most"]["size"]:
-            u, value, saturated = -r["most"]["col2"], r["most"]["size"] / l, True
+            low, upto = upto, min(total, max(2 * upto, k, int(total * FIRST)))
+            fresh = per_instance(live, open_pairs(low, upto), None, strategy).select("u", "rank")
+            entries = settle(fresh if entries is None else entries.unionByName(fresh), "entries")
+        spent[0] += time.time() - began
+        began = time.time()
+        if r is not None and r["best"] is not None:
+            u, value, saturated, used = r["best"]["u"], (k - 1) * n / (r["best"]["kth"] + 1), False, r["best"]["kth"] + 1
+        elif r is not None and r["most"] is not None:
+            u, value, saturated, used = -r["most"]["col2"], r["most"]["size"] / l, True, total
         else:
             break
-        fresh = settle(reach(live, spark.createDataFrame([(0, u)], "q long, v long"), l, covered, strategy).select("i", "v"), "fresh")
-        chosen.append((len(chosen) + 1, u, float(value), fresh.count() / l, saturated))
-        covered = settle(covered.unionByName(fresh), "covered")
-    seeds = spark.createDataFrame(chosen, "step int, v long, est double, exact double, saturated boolean")
+        # what a covered pair reaches is covered, so that the search may pass covered pairs
+        found = spread(packed, u, l) if packed is not None else reach(live, spark.createDataFrame([(0, u)], "q long, v long"), l, strategy="rounds").select("i", "v")
+        fresh = settle(found.join(reduce(DataFrame.unionByName, covered), ["i", "v"], "left_anti") if covered else found, "fresh")
+        count = fresh.count() / l
+        spent[1] += time.time() - began
+        began = time.time()
+        chosen.append((len(chosen) + 1, u, float(value), count, saturated, *(1000 * x for x in spent), used))
+        gone = ranks.where(F.col("rank") < upto).join(fresh, ["i", "v"]).select("rank")
+        entries = settle(entries.join(gone, "rank", "left_anti"), "entries")
+        covered.append(fresh)
+        if len(covered) > TABLES:
+            covered = [settle(reduce(DataFrame.unionByName, covered), "covered")]
+        spent[0] += time.time() - began
+    seeds = spark.createDataFrame(chosen, "step int, v long, est double, exact double, saturated boolean, sketch_ms double, exact_ms double, ranks_used long")
     if leval and chosen:
         other = live if leval == l else settle(live_edges(graph, model, leval, seed, p), "live")
         again = marginals(other, seeds, leval, strategy).select("step", F.col("marginal").alias("exact"))
-        seeds = seeds.drop("exact").join(again, "step").select("step", "v", "est", "exact", "saturated")
+        seeds = seeds.drop("exact").join(again, "step").select(*seeds.columns)
     return cumulative(seeds)
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cascadia.functions.tables import settle
 from cascadia.operators.reach import reach
 from cascadia.operators.sketch import estimate
 
@@ -21,15 +24,26 @@ def marginals(live: DataFrame, steps: DataFrame, l: int, strategy: str = "auto")
     return steps.select("step", "v").join(first, F.col("step") == F.col("q"), "left").select("step", "v", F.coalesce("marginal", F.lit(0.0)).alias("marginal"))
 
 
-def benchmark(sketches: DataFrame, live: DataFrame, seeds: DataFrame, n: int, k: int, l: int, leval: int | None = None, strategy: str = "auto") -> tuple[DataFrame, DataFrame]:  # noqa: E741
+def benchmark(sketches: DataFrame, live: DataFrame, seeds: DataFrame, n: int, k: int, l: int, leval: int | None = None, strategy: str = "auto", times: bool = False) -> tuple[DataFrame, DataFrame]:  # noqa: E741
     """(queries, sizes) for seed sets (size, q, slot, v): estimate, exact and relative error of each query, and their
-    averages by size. live holds the leval (l if not given) instances to evaluate on."""
+    averages by size. live holds the leval (l if not given) instances to evaluate on. times: also vertices (the set
+    with commas between), estimate_ms and exact_ms. All queries run in one job, so each gets an equal share of its time."""
     sets = seeds.select(F.concat_ws("_", "size", "q").alias("name"), "size", "q", "v")
     key = sets.select("size", "q").distinct().withColumn("k", F.xxhash64("size", "q"))
     own = sets.select(F.xxhash64("size", "q").alias("q"), "v")
-    both = key.join(estimate(sketches, own, n, k, l).withColumnRenamed("q", "k"), "k").join(exact(live, own, leval or l, strategy).withColumnRenamed("q", "k"), "k")
+    runs, spent = [estimate(sketches, own, n, k, l), exact(live, own, leval or l, strategy)], []
+    for i, name in enumerate(("estimates", "exact") if times else ()):
+        began = time.time()
+        runs[i] = settle(runs[i], name)
+        spent.append(1000 * (time.time() - began) / max(1, runs[i].count()))
+    both = key.join(runs[0].withColumnRenamed("q", "k"), "k").join(runs[1].withColumnRenamed("q", "k"), "k")
+    columns = ["estimate", "exact", "error"]
     queries = both.select("size", "q", "estimate", "exact", (F.abs(F.col("estimate") - F.col("exact")) / F.col("exact")).alias("error"))
-    return queries, queries.groupBy("size").agg(F.count("*").alias("queries"), F.avg("estimate").alias("estimate"), F.avg("exact").alias("exact"), F.avg("error").alias("error"))
+    if times:
+        names = seeds.groupBy("size", "q").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slot", "v"))), lambda x: x["v"].cast("string")), ",").alias("vertices"))
+        queries = queries.join(names, ["size", "q"]).withColumns({"estimate_ms": F.lit(spent[0]), "exact_ms": F.lit(spent[1])})
+        columns += ["estimate_ms", "exact_ms"]
+    return queries, queries.groupBy("size").agg(F.count("*").alias("queries"), *(F.avg(c).alias(c) for c in columns))
 
 
 def cumulative(seeds: DataFrame) -> DataFrame:

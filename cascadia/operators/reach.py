@@ -1,26 +1,30 @@
 """Reachability over live arcs.
 
 Two strategies with one result. "rounds": all queries and instances advance by one arc in each job; state is a table.
-"worlds": an instance's arcs go to one task that searches there; chosen only where the largest instance's arcs and
-starting points are counted to be at most LOCAL, so that a task's memory is bounded.
+"worlds": an instance's arcs go to a task that searches there for some of the queries; chosen only where the largest
+instance's arcs are counted to be at most LOCAL and its queries, dealt so that no task can find more than FOUND pairs,
+need at most COPIES copies of them.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cascadia.functions.tables import settle
 
-LOCAL = 2_000_000
+LOCAL, FOUND, COPIES = 2_000_000, 1 << 24, 256
 
 
-def fits(*frames: DataFrame) -> bool:
-    """Whether no instance has more than LOCAL rows in any of the frames."""
-    return all((f.groupBy("i").count().agg(F.max("count")).first()[0] or 0) <= LOCAL for f in frames)
+def largest(df: DataFrame) -> int:
+    """Rows of the instance that has most."""
+    return df.groupBy("i").count().agg(F.max("count")).first()[0] or 0
 
 
 def _search(key, live: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
@@ -49,8 +53,14 @@ def reach(live: DataFrame, sources: DataFrame, l: int, covered: DataFrame | None
     if covered is not None:
         starts = starts.join(covered, ["i", "v"], "left_anti")
         live = live.join(covered.withColumnRenamed("v", "dst"), ["i", "dst"], "left_anti").select("i", "src", "dst")
-    if strategy == "worlds" or strategy == "auto" and fits(live, starts):
-        return live.groupBy("i").cogroup(starts.select("q", "i", "v").groupBy("i")).applyInPandas(_search, "q long, i int, v long")
+    if strategy != "rounds":
+        arcs, queries = largest(live), largest(starts.select("i", "q").distinct())
+        found = 2 * arcs + 1 + -(-largest(starts) // max(1, queries))  # what a query can find at most, about
+        copies = max(1, -(-queries * found // FOUND))
+        if strategy == "worlds" or max(arcs, largest(starts)) <= LOCAL and copies <= COPIES and arcs * copies <= 16 * LOCAL:
+            own = starts.select("q", "i", "v", F.pmod(F.xxhash64("q"), F.lit(copies)).alias("part"))
+            worlds = live.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
+            return worlds.groupBy("i", "part").cogroup(own.groupBy("i", "part")).applyInPandas(_search, "q long, i int, v long")
     front = seen = settle(starts.select("q", "i", "v"), "reach")
     parts = [seen]
     while True:
@@ -66,6 +76,37 @@ def reach(live: DataFrame, sources: DataFrame, l: int, covered: DataFrame | None
             seen = seen.unionByName(x)
 
 
+def pack(live: DataFrame) -> DataFrame:
+    """i, src, dst: an instance's arcs in one row, as bytes of longs in order of tails, for spread().
+    Only for instances of at most LOCAL arcs."""
+
+    def run(t: pa.Table) -> pa.Table:
+        src, dst = t.column("src").to_numpy(), t.column("dst").to_numpy()
+        order = np.argsort(src, kind="stable")
+        return pa.table({"i": t.column("i")[:1], "src": pa.array([src[order].tobytes()], pa.binary()), "dst": pa.array([dst[order].tobytes()], pa.binary())})
+
+    return live.groupBy("i").applyInArrow(run, "i int, src binary, dst binary")
+
+
+def spread(packed: DataFrame, u: int, l: int) -> DataFrame:  # noqa: E741
+    """i, v: what one vertex reaches in each of l packed instances, itself included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, src, dst in zip(*(b.column(c).to_pylist() for c in ("i", "src", "dst")), strict=True):
+                src, dst = np.frombuffer(src, np.int64), np.frombuffer(dst, np.int64)
+                seen = edge = np.array([u], np.int64)
+                while len(edge):
+                    first, count = np.searchsorted(src, edge), np.searchsorted(src, edge, "right") - np.searchsorted(src, edge)
+                    at = np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
+                    edge = np.setdiff1d(dst[at], seen)
+                    seen = np.union1d(seen, edge)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), i, np.int32)), pa.array(seen)], names=["i", "v"])
+
+    own = packed.sparkSession.range(l).select(F.col("id").cast("int").alias("i"), F.lit(u).cast("long").alias("v"))
+    return packed.mapInArrow(run, "i int, v long").unionByName(own).distinct()
+
+
 def levels(arcs: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
     """q, v, level: the ball around each query's sources over all arcs, level by level, up to depth."""
     front = settle(sources.select("q", "v").distinct().withColumn("level", F.lit(0)), "ball")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cascadia.functions.tables import settle
-from cascadia.operators.reach import fits
+from cascadia.operators.reach import FOUND, LOCAL, largest
 
 
 def _smallest(df: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -17,12 +17,15 @@ def _smallest(df: DataFrame, keys: list[str], k: int) -> DataFrame:
     return df.withColumn("pos", F.row_number().over(place)).where(F.col("pos") <= k)
 
 
-def per_instance(live: DataFrame, ranks: DataFrame, k: int, strategy: str = "auto") -> DataFrame:
-    """i, u, rank: for each instance and vertex the k smallest ranks among the pairs it reaches there. ranks: v, i, rank.
+def per_instance(live: DataFrame, ranks: DataFrame, k: int | None, strategy: str = "auto") -> DataFrame:
+    """i, u, rank: for each instance and vertex the k smallest ranks (None: all) among the pairs it reaches there.
+    ranks: v, i, rank.
 
     "worlds" lets ranks flow backwards in ascending order through one instance in a task, past vertices that have k
-    already no further; "rounds" sends newly entered ranks one arc back in each job, keeping k a vertex. Which one
-    "auto" takes depends on counts (see reach.LOCAL)."""
+    already no further; "rounds" sends newly entered ranks one arc back in each job, keeping k a vertex. "auto" takes
+    the first where an instance has at most reach.LOCAL arcs and can't have more than reach.FOUND entries: k ranks for
+    each vertex, or each rank at all vertices."""
+    most = k or (1 << 62)
 
     def grow(key, arcs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         into = defaultdict(list)
@@ -31,7 +34,7 @@ def per_instance(live: DataFrame, ranks: DataFrame, k: int, strategy: str = "aut
         have: dict[int, int] = defaultdict(int)
         us, rs = [], []
         for v, rank in own.sort_values("rank")[["v", "rank"]].itertuples(index=False):
-            if have[v] >= k:
+            if have[v] >= most:
                 continue
             seen, todo = {v}, [v]
             while todo:
@@ -40,18 +43,23 @@ def per_instance(live: DataFrame, ranks: DataFrame, k: int, strategy: str = "aut
                 us.append(x)
                 rs.append(rank)
                 for y in into.get(x, ()):
-                    if y not in seen and have[y] < k:
+                    if y not in seen and have[y] < most:
                         seen.add(y)
                         todo.append(y)
         return pd.DataFrame({"i": key[0], "u": us, "rank": rs})
 
-    if strategy == "worlds" or strategy == "auto" and fits(live, ranks):
+    def fits() -> bool:
+        arcs, own = largest(live), largest(ranks)
+        return arcs <= LOCAL and min(own * most, own * (arcs + 1)) <= FOUND
+
+    if strategy == "worlds" or strategy == "auto" and fits():
         return live.groupBy("i").cogroup(ranks.select("v", "i", "rank").groupBy("i")).applyInPandas(grow, "i int, u long, rank long")
     sketch = fresh = settle(ranks.select(F.col("i").cast("int").alias("i"), F.col("v").alias("u"), "rank"), "sketch")
     while True:
         sent = fresh.withColumnRenamed("u", "dst").join(live, ["i", "dst"]).select("i", F.col("src").alias("u"), "rank").distinct()
         sent = sent.join(sketch, ["i", "u", "rank"], "left_anti").withColumn("new", F.lit(True))
-        both = settle(_smallest(sketch.withColumn("new", F.lit(False)).unionByName(sent), ["i", "u"], k).drop("pos"), "sketch")
+        both = sketch.withColumn("new", F.lit(False)).unionByName(sent)
+        both = settle(_smallest(both, ["i", "u"], k).drop("pos") if k else both, "sketch")
         sketch, fresh = both.drop("new"), both.where("new").drop("new")
         if fresh.isEmpty():
             return sketch

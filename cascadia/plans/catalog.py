@@ -6,17 +6,20 @@ same order.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cascadia.functions.hashing import RESOLUTION, hash_sql, hashed
-from cascadia.functions.tables import settle
+from cascadia.functions.tables import settle, shared_dir
 from cascadia.operators import greedy, influence, ranks, report, sampling, sketch
 from cascadia.operators.graph import Graph
 from cascadia.operators.live import MODELS, SEED, live_edges
 from cascadia.operators.reach import levels, reach
+from cascadia.sources import binary, text
 
-L, K, P = 8, 16, 0.1
+L, K, P, LEVAL = 8, 16, 0.1, 12
 _ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 _SIZES, _QUERIES = [1, 2, 5, 10], 5
 
@@ -45,8 +48,9 @@ def _index(spark, sf_dir, k=K):
     return g, live, own
 
 
-def _every(g: Graph, step: int) -> DataFrame:
-    return g.vertices().where(F.col("v") % step == 0).select(F.col("v").alias("q"), "v")
+def _each(g: Graph) -> DataFrame:
+    """Every vertex as a query of its own."""
+    return g.vertices().select(F.col("v").alias("q"), "v")
 
 
 def graph_simple(spark, sf_dir):
@@ -116,28 +120,28 @@ def rank_stratified(spark, sf_dir):
 
 def reach_forward(spark, sf_dir):
     g, live = _live(spark, sf_dir)
-    return reach(live, _every(g, 50), L)
+    return reach(live, _each(g), L)
 
 
 def reach_backward(spark, sf_dir):
     g, live = _live(spark, sf_dir)
-    return reach(live.select("i", F.col("dst").alias("src"), F.col("src").alias("dst")), _every(g, 50), L)
+    return reach(live.select("i", F.col("dst").alias("src"), F.col("src").alias("dst")), _each(g), L)
 
 
 def ball_levels(spark, sf_dir):
     g = parts(spark, sf_dir)
-    return levels(g.arcs, _every(g, 500), 2)
+    return levels(g.arcs, _each(g), 2)
 
 
 def exact_influence(spark, sf_dir):
     g, live = _live(spark, sf_dir)
-    sets = _every(g, 10).select((F.col("v") % 7).alias("q"), "v")
+    sets = g.vertices().select(F.floor(F.col("v") / 10).alias("q"), "v")
     return influence.exact(live, sets, L)
 
 
 def exact_marginals(spark, sf_dir):
     g, live = _live(spark, sf_dir)
-    steps = _every(g, 100).select((F.col("v") / 100 + 1).cast("int").alias("step"), "v")
+    steps = g.vertices().select((F.col("v") + 1).cast("int").alias("step"), "v")
     return influence.marginals(live, steps, L)
 
 
@@ -211,8 +215,43 @@ def greedy_cumulative(spark, sf_dir):
 
 
 def coverage_report(spark, sf_dir):
+    """The lines of a coverage file, with 0 for the times, which no two runs share."""
+    g = parts(spark, sf_dir)
+    seeds = greedy.maximize(g, "weighted", 3, K, L).withColumns({c: F.lit(0.0) for c in ("sketch_ms", "exact_ms")})
+    return report.coverage(seeds, g.n)
+
+
+def seed_report(spark, sf_dir):
+    """The lines of a statistics file, with 0 for the times."""
     g = parts(spark, sf_dir)
-    return report.coverage(greedy.maximize(g, "weighted", 3, K, L), g.n)
+    seeds = _rounded(greedy.maximize(g, "weighted", 3, K, L), "est", "cum_est").withColumns({c: F.lit(0.0) for c in ("sketch_ms", "exact_ms")})
+    return report.seed_statistics(seeds, g.n, g.arcs.count())
+
+
+def greedy_other_instances(spark, sf_dir):
+    """Seeds whose exact influence is that in as many other instances (leval)."""
+    return _rounded(greedy.maximize(parts(spark, sf_dir), "weighted", 3, K, L, leval=LEVAL).select("step", "v", "est", "exact", "cum_exact"), "est")
+
+
+def metis_round_trip(spark, sf_dir):
+    """The arcs of the graph written as a folder of METIS text and read again."""
+    path = f"{shared_dir(spark).rstrip('/')}/metis-{uuid.uuid4().hex}"
+    text.write_metis(parts(spark, sf_dir), path)
+    return text.metis(spark, path).arcs
+
+
+def dimacs_round_trip(spark, sf_dir):
+    """The same with DIMACS text."""
+    path = f"{shared_dir(spark).rstrip('/')}/dimacs-{uuid.uuid4().hex}"
+    text.write_dimacs(parts(spark, sf_dir), path)
+    return text.dimacs(spark, path).arcs
+
+
+def binary_round_trip(spark, sf_dir):
+    """The same with a folder of binary parts."""
+    path = f"{shared_dir(spark).rstrip('/')}/graph-{uuid.uuid4().hex}.gr"
+    binary.write(parts(spark, sf_dir), path)
+    return binary.read(spark, path).arcs
 
 
 def quality_gap(spark, sf_dir):
@@ -235,7 +274,8 @@ def queries() -> dict:
         live_weighted, live_binary, live_trivalency, live_counts, rank_full, rank_stratified, reach_forward, reach_backward, ball_levels,
         exact_influence, exact_marginals, sketch_instance, sketch_combined, sketch_size, estimate_vertex_all, estimate_sets,
         query_benchmark, seed_uniform, seed_neighborhood, range_spec, greedy_first_seed, greedy_k_seeds, greedy_saturated,
-        greedy_cumulative, coverage_report, quality_gap, top_influence,
+        greedy_cumulative, greedy_other_instances, coverage_report, seed_report, quality_gap, top_influence, metis_round_trip,
+        dimacs_round_trip, binary_round_trip,
     )
     return {f.__name__: f for f in found}
 
@@ -274,7 +314,7 @@ items AS (SELECT s.size, s.q, k.rank, max(t.tau) AS tau FROM (SELECT DISTINCT si
 guess AS (SELECT size, q, (SELECT n FROM size) * sum(1.0::DOUBLE / tau) AS estimate FROM items GROUP BY size, q)"""
     truth = f"truth AS (SELECT size, q, count(*)::DOUBLE / {L} AS exact FROM (SELECT DISTINCT s.size, s.q, c.i, c.v FROM sets s JOIN closed c ON c.u = s.v) GROUP BY size, q)"
 
-    def greedy_sql(steps: int, k: int, select: str) -> str:
+    def greedy_sql(steps: int, k: int, select: str, more: str = "") -> str:
         sql = f"{head}, {closed}, {strat}, cov0 AS (SELECT 0::INT AS i, 0::BIGINT AS v WHERE false)"
         for s in range(1, steps + 1):
             sql += f""",
@@ -286,10 +326,24 @@ new{s} AS (SELECT DISTINCT c.i, c.v FROM closed c JOIN pick{s} p ON p.u = c.u WH
 cov{s} AS (SELECT * FROM cov{s - 1} UNION ALL SELECT * FROM new{s})"""
         rows = " UNION ALL ".join(f"SELECT {s}::INT AS step, u AS v, est, (SELECT count(*) FROM new{s})::DOUBLE / {L} AS exact, saturated FROM pick{s}" for s in range(1, steps + 1))
         run = "ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-        return f"{sql}, seeds AS (SELECT *, sum(est) OVER ({run}) AS cum_est, sum(exact) OVER ({run}) AS cum_exact FROM ({rows})) {select}"
+        return f"{sql}, seeds AS (SELECT *, sum(est) OVER ({run}) AS cum_est, sum(exact) OVER ({run}) AS cum_exact FROM ({rows})){more} {select}"
 
     plain = f"WITH {base}"
-    start = "(SELECT v FROM nodes WHERE v % 50 = 0)"
+    number = "round({}, 6)::VARCHAR"
+    key = "(step - 1)::VARCHAR || '_{} = ' || {}"
+    per_seed = {"MarginalEstimatedInfluence": number.format("est"), "CumulativeEstimatedInfluence": number.format("cum_est"), "MarginalExactInfluence": "exact::VARCHAR", "CumulativeExactInfluence": "cum_exact::VARCHAR", "VertexId": "v::VARCHAR"} | dict.fromkeys(("TotalElapsedMilliseconds", "SketchBuildingElapsedMilliseconds", "InfluenceComputationElapsedMilliseconds"), "'0.0'")
+    used = f"(SELECT max(CASE WHEN saturated THEN (SELECT n FROM size) * {L} ELSE round({K - 1} * (SELECT n FROM size)::DOUBLE / est) END)::BIGINT FROM seeds)"
+    whole = {
+        "NumberOfVertices": "(SELECT n FROM size)", "NumberOfArcs": "(SELECT count(*) FROM arcs)", "TotalEstimatedInfluence": "(SELECT sum(round(est, 6)) FROM seeds)",
+        "TotalExactInfluence": "(SELECT sum(exact) FROM seeds)", "TotalElapsedMilliseconds": "'0.0'", "SketchBuildingElapsedMilliseconds": "'0.0'", "InfluenceComputationElapsedMilliseconds": "'0.0'",
+        "NumberOfRanksUsed": used, "NumberOfSeedVertices": "(SELECT count(*) FROM seeds)", "RankComputationMethod": "'shuffle'", "NumberOfPermutationsComputed": f"(({used} - 1) // (SELECT n FROM size) + 1)",
+    }
+    seed_lines = " UNION ALL ".join([f"SELECT '{x} = ' || ({y})::VARCHAR AS value" for x, y in whole.items()] + [f"SELECT {key.format(x, y)} AS value FROM seeds" for x, y in per_seed.items()])
+    edges2 = hash_sql(worlds.replace(f"range({L})", f"range({LEVAL})"), "src", "dst", "i", LEVAL, SEED)
+    other_instances = f"""SELECT step, v, round(est, 6) AS est, exact, sum(exact) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_exact FROM (
+SELECT s.step, s.v, s.est, (SELECT count(*) FROM (SELECT i, v, min(step) AS first FROM spread GROUP BY i, v) f WHERE f.first = s.step)::DOUBLE / {LEVAL} AS exact FROM seeds s)"""
+    spread = f""", live2 AS (SELECT i::INT AS i, src, dst FROM {edges2} WHERE h % {RESOLUTION} < {cuts['weighted']}),
+spread AS (SELECT s.step, w.i::INT AS i, s.v FROM seeds s CROSS JOIN (SELECT unnest(range({LEVAL})) AS i) w UNION SELECT c.step, c.i, l.dst FROM spread c JOIN live2 l ON l.i = c.i AND l.src = c.v) """
     return {
         "graph_simple": f"{plain} SELECT src, dst FROM raw WHERE src <> dst",
         "graph_transpose": f"{plain} SELECT dst AS src, src AS dst FROM raw WHERE src <> dst",
@@ -304,11 +358,11 @@ cov{s} AS (SELECT * FROM cov{s - 1} UNION ALL SELECT * FROM new{s})"""
         "live_counts": f"{plain} " + " UNION ALL ".join(f"SELECT '{m}' AS model, i, count(*) AS arcs FROM {q} GROUP BY i" for m, q in live.items()),
         "rank_full": f"{plain}, {rank} SELECT v, i, rank FROM rk",
         "rank_stratified": f"{plain}, {strat} SELECT v, i, round, rank FROM rk",
-        "reach_forward": f"{full} SELECT u AS q, i, v FROM closed WHERE u IN {start}",
-        "reach_backward": f"{full} SELECT v AS q, i, u AS v FROM closed WHERE v IN {start}",
-        "ball_levels": f"{plain}, b0 AS (SELECT v AS q, v, 0 AS level FROM nodes WHERE v % 500 = 0), b1 AS (SELECT q, dst AS v, 1 AS level FROM b0 JOIN arcs ON src = v), b2 AS (SELECT q, dst AS v, 2 AS level FROM b1 JOIN arcs ON src = v) SELECT q, v, min(level)::INT AS level FROM (SELECT * FROM b0 UNION ALL SELECT * FROM b1 UNION ALL SELECT * FROM b2) GROUP BY q, v",
-        "exact_influence": f"{full} SELECT q, count(*)::DOUBLE / {L} AS exact FROM (SELECT DISTINCT u % 7 AS q, i, v FROM closed WHERE u % 10 = 0) GROUP BY q",
-        "exact_marginals": f"{full}, f AS (SELECT i, v, min(u // 100 + 1) AS step FROM closed WHERE u % 100 = 0 GROUP BY i, v), g AS (SELECT step, count(*)::DOUBLE / {L} AS marginal FROM f GROUP BY step) SELECT (n.v // 100 + 1)::INT AS step, n.v, coalesce(marginal, 0.0) AS marginal FROM nodes n LEFT JOIN g ON g.step = n.v // 100 + 1 WHERE n.v % 100 = 0",
+        "reach_forward": f"{full} SELECT u AS q, i, v FROM closed",
+        "reach_backward": f"{full} SELECT v AS q, i, u AS v FROM closed",
+        "ball_levels": f"{plain}, b0 AS (SELECT v AS q, v, 0 AS level FROM nodes), b1 AS (SELECT q, dst AS v, 1 AS level FROM b0 JOIN arcs ON src = v), b2 AS (SELECT q, dst AS v, 2 AS level FROM b1 JOIN arcs ON src = v) SELECT q, v, min(level)::INT AS level FROM (SELECT * FROM b0 UNION ALL SELECT * FROM b1 UNION ALL SELECT * FROM b2) GROUP BY q, v",
+        "exact_influence": f"{full} SELECT q, count(*)::DOUBLE / {L} AS exact FROM (SELECT DISTINCT u // 10 AS q, i, v FROM closed) GROUP BY q",
+        "exact_marginals": f"{full}, f AS (SELECT i, v, min(u + 1) AS step FROM closed GROUP BY i, v), g AS (SELECT step, count(*)::DOUBLE / {L} AS marginal FROM f GROUP BY step) SELECT (n.v + 1)::INT AS step, n.v, coalesce(marginal, 0.0) AS marginal FROM nodes n LEFT JOIN g ON g.step = n.v + 1",
         "sketch_instance": f"{full}, {per} SELECT i, u, rank FROM per",
         "sketch_combined": f"{full}, {per}, {both} SELECT u, pos, rank FROM sk",
         "sketch_size": f"{full}, {per}, {both} SELECT count(*) AS entries, count(*) * 8 AS bytes FROM sk",
@@ -322,6 +376,9 @@ cov{s} AS (SELECT * FROM cov{s - 1} UNION ALL SELECT * FROM new{s})"""
         "greedy_k_seeds": greedy_sql(3, K, "SELECT step, v, round(est, 6) AS est, exact FROM seeds"),
         "greedy_saturated": greedy_sql(2, 5000, "SELECT step, v, round(est, 6) AS est, exact, saturated FROM seeds"),
         "greedy_cumulative": greedy_sql(3, K, "SELECT step, round(cum_est, 6) AS cum_est, cum_exact FROM seeds"),
-        "coverage_report": greedy_sql(3, K, "SELECT (SELECT n FROM size)::VARCHAR AS value UNION ALL SELECT count(*)::VARCHAR FROM seeds UNION ALL SELECT v || chr(9) || cum_exact FROM seeds"),
+        "coverage_report": greedy_sql(3, K, "SELECT (SELECT n FROM size)::VARCHAR AS value UNION ALL SELECT count(*)::VARCHAR FROM seeds UNION ALL SELECT '0.0' UNION ALL SELECT v || chr(9) || cum_exact || chr(9) || '0.0' FROM seeds"),
+        "seed_report": greedy_sql(3, K, seed_lines),
+        "greedy_other_instances": greedy_sql(3, K, other_instances, spread),
+        **{f"{x}_round_trip": f"{plain} SELECT src, dst FROM arcs" for x in ("metis", "dimacs", "binary")},
         "quality_gap": greedy_sql(3, K, "SELECT count(*) AS seeds, round(sum(est), 6) AS est, sum(exact) AS exact, round(100 * (1 - sum(exact) / sum(est)), 6) AS gap FROM seeds"),
     }

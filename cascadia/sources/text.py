@@ -11,14 +11,15 @@ from cascadia.operators.graph import Graph
 
 
 def metis(spark: SparkSession, path: str, **options) -> Graph:
-    """A METIS file: % lines are comments; the first line that is not empty holds the number of vertices; the j-th
+    """A METIS file, or a folder of parts that follow each other by name: % lines are comments; the first line that is not empty holds the number of vertices; the j-th
     line after it lists the heads of vertex j's arcs, from 1; an empty line is a vertex without arcs.
 
-    Lines are numbered by their block of the file and their place in it, without one task for all. Weighted formats
-    raise. options go to Graph.from_arcs."""
-    lines = spark.read.text(path).select(F.rtrim(F.regexp_replace("value", "\r$", "")).alias("line"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    Lines are numbered by their file, their block of it and their place there, without one task for all. Weighted
+    formats raise. options go to Graph.from_arcs."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("block")
+    lines = spark.read.text(path).select(F.rtrim(F.regexp_replace("value", "\r$", "")).alias("line"), place, F.monotonically_increasing_id().alias("at"))
     lines = settle(lines, "lines").where(~F.ltrim("line").startswith("%"))
-    numbered = settle(prefix(lines, [], F.col("block"), ["at"], "no"), "numbered")
+    numbered = settle(prefix(lines, [], F.col("block"), ["at"], "no").drop("block"), "numbered")
     head = numbered.where(F.trim("line") != "").orderBy("no").first()
     if head is None:
         raise ValueError(f"{path} is empty")
@@ -43,7 +44,8 @@ def dimacs(spark: SparkSession, path: str, **options) -> Graph:
 
 
 def write_metis(graph: Graph, path: str) -> None:
-    """The graph as METIS text, in order, in one file part for each range of vertices; the header is a part of its own."""
+    """The graph as METIS text, in order: a folder with one part for each range of vertices, whose names follow each
+    other; the header is the first line of the first."""
     spark = graph.arcs.sparkSession
     heads = graph.arcs.groupBy("src").agg(F.array_join(F.transform(F.sort_array(F.collect_list("dst")), lambda x: (x + 1).cast("string")), " ").alias("value"))
     lines = graph.vertices().join(heads, F.col("v") == F.col("src"), "left").select("v", F.coalesce("value", F.lit("")).alias("value"))

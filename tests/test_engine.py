@@ -1,6 +1,7 @@
 """Graph sources, hash, micro graphs, estimators, greedy choice and the command line on small examples."""
 
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from cascadia.functions.hashing import hashed, murmur
 from cascadia.operators import greedy, influence, ranks, sampling, sketch
 from cascadia.operators.graph import Graph
 from cascadia.operators.live import live_edges
-from cascadia.operators.reach import reach
+from cascadia.operators.reach import pack, reach, spread
 from cascadia.sources import binary, text
 
 # fixed values: u, v, i, l, seed and the hash
@@ -111,6 +112,129 @@ def test_text_formats(spark, tmp_path):
     assert sorted(map(tuple, text.dimacs(spark, str(tmp_path / "out.dimacs")).arcs.collect())) == sorted(map(tuple, g.arcs.collect()))
 
 
+def test_metis_folders(spark, tmp_path):
+    rng = random.Random(3)
+    g = graph(spark, [(rng.randrange(400), rng.randrange(400)) for _ in range(900)], n=400)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        text.write_metis(g, str(tmp_path / "parts"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(x.name.startswith("part-") and x.stat().st_size > 0 for x in (tmp_path / "parts").iterdir()) > 1
+    back = text.metis(spark, str(tmp_path / "parts"))
+    assert back.n == 400 and sorted(map(tuple, back.arcs.collect())) == sorted(map(tuple, g.arcs.collect()))
+
+
+def test_smallest_graphs(spark):
+    assert graph(spark, [(0, 0)], self_loops=True).n == 1
+    assert graph(spark, [(0, 0)]).n == 0
+    assert greedy.maximize(graph(spark, [(0, 0)], self_loops=True), "binary", 1, 2, 2).first()["exact"] == 1.0
+
+
+def test_binary_records(spark, tmp_path):
+    """Tags of one byte; data of vertices and arcs between and after the arcs."""
+    head = struct.pack("<IB3xQQQQQ", 0x12341234, 1, 4, 5, 0, 2, 3)
+    arc = lambda u, v, x: b"\x02" + struct.pack("<II", u, v) + x
+    body = b"\x00ab" + arc(0, 1, b"xyz") + arc(1, 2, b"\x00\x02\x02") + b"\x00cd\x00\x02\x02" + b"".join(arc(3, v, b"...") for v in range(3)) + b"\x00gh"
+    (tmp_path / "m.gr").write_bytes(head + body)
+    g = binary.read(spark, str(tmp_path / "m"))
+    assert g.n == 4 and sorted(map(tuple, g.arcs.collect())) == [(0, 1), (1, 2), (3, 0), (3, 1), (3, 2)]
+    assert sorted(map(tuple, binary.vertex_data(spark, str(tmp_path / "m")).collect())) == [(0, b"ab"), (1, b"cd"), (2, b"\x02\x02"), (3, b"gh")]
+    assert {bytes(r["data"]) for r in binary.arc_data(spark, str(tmp_path / "m")).collect()} == {b"xyz", b"\x00\x02\x02", b"..."}
+    for bad in (b"\x01ab", b"\x02\x00"):
+        with pytest.raises(ValueError):
+            binary.decode(head + body + bad)
+
+
+def test_binary_folders(spark, tmp_path):
+    rng = random.Random(5)
+    g = graph(spark, [(rng.randrange(3000), rng.randrange(3000)) for _ in range(5000)], n=3000)
+    binary.write(g, str(tmp_path / "g"), 5)
+    back = binary.read(spark, str(tmp_path / "g"))
+    assert back.n == 3000 and sorted(map(tuple, back.arcs.collect())) == sorted(map(tuple, g.arcs.collect()))
+    one = sorted(x for x in (tmp_path / "g.gr").iterdir() if x.suffix == ".txt" and x.stat().st_size)[0].read_bytes()
+    n, _, tails, _ = binary.decode(one)
+    assert n == 3000 and len(tails) == struct.unpack_from("<IB3xQQ", one)[3]
+    none = graph(spark, [(0, 0)], n=7)
+    binary.write(none, str(tmp_path / "none"))
+    assert binary.read(spark, str(tmp_path / "none")).n == 7
+    both = graph(spark, [(0, 1), (1, 0), (1, 2), (2, 1)], directed=False)
+    binary.write(both, str(tmp_path / "both"))
+    assert sorted(map(tuple, binary.read(spark, str(tmp_path / "both"), symmetrize=True).arcs.collect())) == [(0, 1), (1, 0), (1, 2), (2, 1)]
+
+
+def test_one_vertex_spreads_as_searched(spark):
+    rng = random.Random(8)
+    live = live_edges(graph(spark, [(rng.randrange(60), rng.randrange(60)) for _ in range(150)], n=60), "weighted", 6).cache()
+    for u in (0, 7, 59):
+        want = reach(live, spark.createDataFrame([(0, u)], "q long, v long"), 6, strategy="rounds").select("i", "v")
+        assert sorted(map(tuple, spread(pack(live), u, 6).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_greedy_against_brute_force(spark):
+    rng = random.Random(10)
+    n, l, k = 25, 3, 4
+    g = graph(spark, [(rng.randrange(n), rng.randrange(n)) for _ in range(45)], n=n)
+    order = list(range(n * l))
+    rng.shuffle(order)
+    rank = {(v, i): order[v * l + i] for v in range(n) for i in range(l)}
+    out = {}
+    for r in live_edges(g, "weighted", l).collect():
+        out.setdefault((r["i"], r["src"]), []).append(r["dst"])
+
+    def reached(u, i):
+        seen, todo = {u}, [u]
+        while todo:
+            for w in out.get((i, todo.pop()), ()):
+                if w not in seen:
+                    seen.add(w)
+                    todo.append(w)
+        return seen
+
+    covered, want = set(), []
+    while len(covered) < n * l:
+        own = {u: sorted(rank[p] for i in range(l) for v in reached(u, i) if (p := (v, i)) not in covered) for u in range(n)}
+        full = [(x[k - 1], u) for u, x in own.items() if len(x) >= k]
+        u = min(full)[1] if full else max(own, key=lambda u: (len(own[u]), -u))
+        fresh = {(v, i) for i in range(l) for v in reached(u, i)} - covered
+        want.append((u, pytest.approx((k - 1) * n / (own[u][k - 1] + 1) if full else len(own[u]) / l), pytest.approx(len(fresh) / l), not full))
+        covered |= fresh
+    frame = spark.createDataFrame([(v, i, r) for (v, i), r in rank.items()], "v long, i int, rank long")
+    for strategy in ("auto", "rounds"):
+        got = greedy.maximize(g, "weighted", 0 if strategy == "auto" else 3, k, l, strategy=strategy, ranks=frame).collect()
+        assert [(r["v"], r["est"], r["exact"], r["saturated"]) for r in got] == (want if strategy == "auto" else want[:3])
+
+
+def test_neighbourhood_sets_lie_in_balls(spark):
+    """Every set is made of whole levels of balls around tails of arcs, but for the last ball's draw."""
+    rng = random.Random(12)
+    g = graph(spark, [(rng.randrange(80), rng.randrange(80)) for _ in range(200)], n=80)
+    arcs = [tuple(r) for r in g.arcs.collect()]
+    after = {}
+    for u, v in arcs:
+        after.setdefault(u, set()).add(v)
+    runs = [sorted(map(tuple, sampling.neighborhood(g, [1, 6, 30], 4).collect())) for _ in range(2)]
+    assert runs[0] == runs[1]
+    sets = {}
+    for size, q, slot, v in runs[0]:
+        sets.setdefault((size, q), []).append(v)
+    assert len(sets) == 12 and all(len(set(v)) == size for (size, _), v in sets.items())
+
+    def balls(u):
+        ball, edge, found = {u}, {u}, [{u}]
+        while edge:
+            edge = set().union(*(after.get(x, set()) for x in edge)) - ball
+            ball = ball | edge
+            found.append(set(ball))
+        return found
+
+    starts = {u: balls(u) for u in after}
+    for (size, _), own in sets.items():
+        own = set(own)
+        # a ball that is whole in the set, or one that holds the set and whose level before is smaller than it
+        assert any((b[-1] <= own) or any(own <= b[i + 1] and len(b[i]) < size for i in range(len(b) - 1)) or own <= b[0] for b in starts.values())
+
+
 def test_binary_format(spark, tmp_path):
     (tmp_path / "g.gr").write_bytes(binary.encode(5, True, np.array([0, 1, 4]), np.array([1, 2, 0])))
     g = binary.read(spark, str(tmp_path / "g"))
@@ -140,6 +264,14 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "g.metis").write_text("4 3\n2 3 4\n\n\n\n")
     gap = cli.run(spark, ["maximize", "-i", str(tmp_path / "g.metis"), "-m", "binary", "-p", "1", "-k", "2", "-l", "2", "-N", "2", "-os", str(tmp_path / "s"), "-oc", str(tmp_path / "c")]).first()
     assert gap["exact"] == 4.0
-    assert "1_VertexId = 0" in [r["value"] for r in spark.read.text(str(tmp_path / "s")).collect()]
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "s")).collect()]
+    assert "0_VertexId = 0" in lines and "NumberOfSeedVertices = 1" in lines and len(lines) == 11 + 8
+    covered = [r["value"] for r in spark.read.text(str(tmp_path / "c")).collect()]
+    assert covered[:2] == ["4", "1"] and covered[3].split("\t")[:2] == ["0", "4.0"] and covered[3].split("\t")[2] == covered[2]
     assert cli.run(spark, ["oracle", "-i", str(tmp_path / "g.metis"), "-a", "-k", "4", "-l", "2"]).count() == 4
     assert cli.run(spark, ["oracle", "-i", str(tmp_path / "g.metis"), "-N", "1-2", "-n", "3", "-k", "4", "-l", "2"]).count() == 2
+    cli.run(spark, ["oracle", "-i", str(tmp_path / "g.metis"), "-N", "1-2", "-n", "3", "-k", "4", "-l", "2", "-v", "-os", str(tmp_path / "o")])
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "o")).collect()]
+    assert lines[0] == "NumberOfVertices = 4" and lines[9] == "0_SeedSetSize = 1" and len(lines) == 9 + 2 * (1 + 3 * 6 + 5)
+    ids = [x for x in lines if x.startswith("1_2_VertexIds = ")]
+    assert len(ids) == 1 and len(ids[0].split(" = ")[1].split(",")) == 2
