@@ -35,7 +35,7 @@ BITS, LONG_BITS = 512, 1 << 24
 #: Bits of a filter on doc_ids, at most; eight for each doc_id. Beyond that texts are found by a join.
 MARKS = 1 << 26
 #: Bytes of packed list entries that a task gathers before it hands them on.
-BUFFER = 32 << 20
+BUFFER = 16 << 20
 #: Entries of a list that are skipped together.
 LIST_BLOCK = 64
 #: Of a set's lists so many, the first ones, tell whether a pair was met before.
@@ -363,7 +363,7 @@ def linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     return out
 
 
-def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles (distinct k-word shingles, A-Z lower-cased; with fewer words the whole
     sequence is one; 0 without words) and component_id, the smallest doc_id reachable by links. Two documents link
     when 100 * intersection >= percent * union; documents without words link with nothing.
@@ -416,4 +416,20 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
 
 def op7_set_join(spark, sf_dir):
     """Shingle counts and components of all documents by 3-word shingles with Jaccard similarity 0.9 or more."""
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90)
+
+
+#: The same rows in SQL, for unique doc_ids: all pairs that share a shingle, then what links lead to.
+ORACLE = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingled AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, least(len(w), 1) + 1))) AS i FROM cut)),
+sized AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM shingled a JOIN shingled b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+linked AS (SELECT x, y FROM shared JOIN sized p ON p.doc_id = x JOIN sized q ON q.doc_id = y WHERE 100 * common >= 90 * (p.n + q.n - common)),
+edges AS (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked),
+reached AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM reached r JOIN edges e ON e.x = r.y)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, (SELECT min(y) FROM reached r WHERE r.x = d.doc_id) AS component_id
+FROM documents d LEFT JOIN sized s ON s.doc_id = d.doc_id
+"""

@@ -41,7 +41,7 @@ def drop_toxic(spark, docs, sf_dir):
 
 
 @_apart
-def one_of_each(spark, docs, sf_dir, k=3, percent=90):
+def one_of_each(spark, docs, sf_dir, k=WORDS, percent=PERCENT):
     """Of each group of linked documents the row with the smallest doc_id (null last); of equal rows one. Rows without
     words are no copies: of those only equal texts under one doc_id, not null, leave one. Null texts have no words.
     Of other rows under one doc_id each stands for itself. An empty table gives no rows."""

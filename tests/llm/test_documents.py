@@ -59,7 +59,7 @@ def shingle_set(t):
 
 def test_set_join_against_brute_force(make):
     rows = corpus(2)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in set_join.join(make(rows)).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in set_join.join(make(rows), 3, 90).collect()}
     sets = [shingle_set(t) for _, t in rows]
     up = list(range(len(rows)))
     for _ in rows:
@@ -78,7 +78,7 @@ def test_set_join_finds_texts_by_a_join_beyond_the_filter(make, monkeypatch):
     results = []
     for marks in (set_join.MARKS, 0):
         monkeypatch.setattr(set_join, "MARKS", marks)
-        results.append(sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in set_join.join(make(rows)).collect()), key=str))
+        results.append(sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in set_join.join(make(rows), 3, 90).collect()), key=str))
     assert results[0] == results[1]
     assert {(d, c) for d, n, c in results[0] if n > 2000} == {(5, 5), (6, 5), (None, 5)}
     assert len(results[0]) == len(rows)
@@ -226,9 +226,9 @@ def test_toxicity_on_held_out_rows(make, spark):
 def test_stages_keep_columns(make, spark, tmp_path):
     rows = corpus(9)
     docs = make(rows)
-    kept = stages.one_of_each(spark, docs, "")
+    kept = stages.one_of_each(spark, docs, "", 3, 90)
     assert kept.columns == docs.columns
-    table = set_join.join(docs).where("n_shingles = 0 or doc_id = component_id").count()
+    table = set_join.join(docs, 3, 90).where("n_shingles = 0 or doc_id = component_id").count()
     assert kept.count() == table
     cleared = stages.without_repeats(spark, docs, "")
     assert cleared.columns == docs.columns and cleared.where("doc_id = 60").count() == (1 if substrings.remove(docs).where("doc_id = 60 and n_removed < n_words").count() else 0)
