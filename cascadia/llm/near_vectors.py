@@ -164,3 +164,16 @@ def near(df: DataFrame, cosine: float = 0.98) -> DataFrame:
 def op10_near_vectors(spark, sf_dir):
     """Links and components of all embeddings with cosine 0.98 or more within a label."""
     return near(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: The same rows in SQL, for unique vec_ids: every two vectors of a label.
+ORACLE = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, e FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)
+  WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+linked AS (SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reached AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reached r JOIN linked l ON l.x = r.y),
+named AS (SELECT x, min(y) AS component_id FROM reached GROUP BY x)
+SELECT e.vec_id, (SELECT count(*) FROM linked l WHERE l.x = e.vec_id)::BIGINT AS n_links, n.component_id, e.vec_id = n.component_id AS kept
+FROM embeddings e JOIN named n ON n.x = e.vec_id
+"""

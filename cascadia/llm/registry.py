@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op6_mixing": mixing.ORACLE}
+    return {"op3_substrings": substrings.ORACLE, "op6_mixing": mixing.ORACLE, "op7_set_join": set_join.ORACLE, "op10_near_vectors": near_vectors.ORACLE}

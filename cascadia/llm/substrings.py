@@ -360,3 +360,16 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def op3_substrings(spark, sf_dir):
     """What is left of all documents without the 13-word windows that a document with a smaller doc_id has too."""
     return remove(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The same rows in SQL, for unique doc_ids: the smallest document of every window.
+ORACLE = r"""
+WITH cut AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM cut)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS least FROM windows) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + o AS i FROM late CROSS JOIN (SELECT unnest(range(13)) AS o)),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM cut),
+kept AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.i) AS left_over, count(*) AS n FROM placed p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i WHERE g.i IS NULL GROUP BY p.doc_id)
+SELECT c.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256
+FROM cut c LEFT JOIN kept k ON k.doc_id = c.doc_id
+"""
