@@ -42,7 +42,8 @@ def _byte_letters() -> dict[str, int]:
 
 class Encoder:
     """Token ids of whole texts as the tokenizer file defines them. Texts of Latin letters without a special token's
-    string go to a faster merger over the file's own vocabulary; the others to the tokenizer itself.
+    string go to a faster merger over the file's own vocabulary; the others to the tokenizer itself, as do all texts
+    where the file normalises, splits otherwise than byte-level files do, or numbers its merges in another order.
 
     The file's pattern looks ahead after white space; texts are cut where that matters instead, before the last of
     two or more white spaces that something follows, and the pattern without it gives the same parts."""
@@ -55,19 +56,26 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        code = _byte_letters()
-        ranks = {bytes(code[x] for x in token): n for token, n in self.tokenizer.get_vocab().items() if token not in self.special}
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in json.loads(self.tokenizer.to_str())["model"]["merges"]]
+        file = json.loads(self.tokenizer.to_str())
+        split, model = file["pre_tokenizer"] or {}, file["model"]
+        known = file["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and model["type"] == "BPE"
+        known = known and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        self.fast = None
+        if not known:
+            return
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         order = [self.tokenizer.token_to_id(a + b) for a, b in merges]
-        if order != sorted(order):
-            raise ValueError("the vocabulary's ids do not follow its merges")
+        code, vocabulary = _byte_letters(), {t: n for t, n in self.tokenizer.get_vocab().items() if t not in self.special}
+        if order != sorted(order) or not all(x in code for token in vocabulary for x in token):
+            return
+        ranks = {bytes(code[x] for x in token): n for token, n in vocabulary.items()}
         self.fast = tiktoken.Encoding("parts", pat_str=r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.runs = re.compile(rf"[{SPACE}]{{2}}[^{SPACE}]")
         self.cut = re.compile(rf"(?<=[{SPACE}])(?=[{SPACE}][^{SPACE}])")
 
     def encode(self, text: str, plain: bool) -> list[int]:
         """plain: the text has no code point from PLAIN on."""
-        if not plain or any(x in text for x in self.special):
+        if self.fast is None or not plain or any(x in text for x in self.special):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         if self.runs.search(text):
             return [n for part in self.cut.split(text) for n in self.fast(part)]
@@ -112,12 +120,35 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end: int = END) -> Da
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+class Sums:
+    """Index of the sums of two and of three available lengths, up to limit. pairs[s]: the shorter lengths of pairs with
+    sum s, most even first; triples[s]: the lengths, longest first, that with a pair of the rest's sum make s."""
+
+    def __init__(self, counts: np.ndarray, limit: int):
+        there = np.flatnonzero(counts)
+        i, j = np.triu_indices(len(there))
+        total = there[i] + there[j]
+        fits = total <= limit
+        short, total = there[i][fits], total[fits]
+        order = np.lexsort((-short, total))
+        self.pairs = np.split(short[order], np.searchsorted(total[order], np.arange(1, limit + 1)))
+        paired = np.array([len(x) > 0 for x in self.pairs])
+        longest = there[::-1]
+        self.triples = [own[paired[s - own]] for s in range(limit + 1) for own in (longest[longest < s],)]
+
+
+    def open_pairs(self, total: int, counts: np.ndarray) -> np.ndarray:
+        """The pairs with this sum of which counts has both lengths."""
+        a = self.pairs[total]
+        return a[(counts[a] > 0) & (counts[total - a] > 0)]
+
+
 def plan(counts: np.ndarray, limit: int = LIMIT) -> list[tuple[tuple[int, ...], int]]:
     """(lengths that share a sequence, number of such sequences). counts[n]: pieces of length n.
 
-    The longest lengths first: gaps are filled exactly by one length, by two, then by three, as far as the counts go;
-    what is left goes by best fit, longest first. Each step uses up a length or a kind of open sequence, so that the
-    plan's size depends on limit alone.
+    The longest lengths first: gaps are filled exactly by one length, by two, then by three, from an index of their
+    sums, as far as the counts go; what is left goes by best fit, longest first. Each step uses up a length or a kind
+    of open sequence, so that the plan's size depends on limit alone.
     """
     c = counts.astype(np.int64).copy()
     out: list[tuple[tuple[int, ...], int]] = []
@@ -130,11 +161,7 @@ def plan(counts: np.ndarray, limit: int = LIMIT) -> list[tuple[tuple[int, ...],
             out.append((lengths, times))
         return times > 0
 
-    def pairs(total: int) -> np.ndarray:
-        """The shorter halves of the available pairs with this sum, most even first."""
-        a = np.arange(total // 2, 0, -1)
-        return a[(c[a] > 0) & (c[total - a] > 0)]
-
+    sums = Sums(c, limit)
     for n in range(limit, 0, -1):
         gap = limit - n
         if not c[n]:
@@ -143,18 +170,18 @@ def plan(counts: np.ndarray, limit: int = LIMIT) -> list[tuple[tuple[int, ...],
             use(n)
             continue
         use(n, gap)
-        for a in pairs(gap):
+        for a in sums.open_pairs(gap, c):
             if not c[n]:
                 break
             use(n, int(gap - a), int(a))
-        for a in range(gap - 2, 0, -1):
+        for a in sums.triples[gap]:
             if not c[n]:
                 break
             if c[a]:
-                for b in pairs(gap - a):
+                for b in sums.open_pairs(gap - a, c):
                     if not c[n] or not c[a]:
                         break
-                    use(n, a, int(gap - a - b), int(b))
+                    use(n, int(a), int(gap - a - b), int(b))
     free: dict[int, list[list]] = {}  # open sequences by room: [lengths, how many]
     for n in range(limit, 0, -1):
         while c[n]:
