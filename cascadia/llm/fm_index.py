@@ -5,6 +5,21 @@ from __future__ import annotations
 import numpy as np
 
 
+class Bits:
+    """A bit vector: how many of its first bits are set."""
+
+    def __init__(self, bits: np.ndarray):
+        packed = np.packbits(bits, bitorder="little")
+        self.words = np.zeros(len(bits) // 64 + 1, np.uint64)
+        self.words.view(np.uint8)[: len(packed)] = packed
+        self.before = np.zeros(len(self.words), np.int32)
+        np.cumsum(np.bitwise_count(self.words[:-1]), out=self.before[1:])
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        at = i >> 6
+        return self.before[at] + np.bitwise_count(self.words[at] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
+
+
 class WaveletMatrix:
     """Counts of a symbol in any prefix of a sequence, for many symbols and prefixes at a time."""
 
@@ -16,22 +31,15 @@ class WaveletMatrix:
         every = np.arange(symbols)
         for b in range(self.bits - 1, -1, -1):
             one = (seq >> b) & 1 == 1
-            packed = np.packbits(one, bitorder="little")
-            words = np.zeros(len(seq) // 64 + 1, np.uint64)
-            words.view(np.uint8)[: len(packed)] = packed
-            before = np.zeros(len(words), np.int32)
-            np.cumsum(np.bitwise_count(words[:-1]), out=before[1:])
-            zeros = int(len(seq) - one.sum())
-            self.levels.append((words, before, zeros))
+            self.levels.append((Bits(one), int(len(seq) - one.sum())))
             first = self._down(first, (every >> b) & 1 == 1, self.levels[-1])
             seq = np.concatenate([seq[~one], seq[one]])
         self.first = first
 
     @staticmethod
     def _down(i: np.ndarray, one: np.ndarray, level) -> np.ndarray:
-        words, before, zeros = level
-        at = i >> 6
-        ones = before[at] + np.bitwise_count(words[at] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
+        bits, zeros = level
+        ones = bits.rank(i)
         return np.where(one, zeros + ones, i - ones)
 
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -45,9 +53,13 @@ class FMIndex:
     """An index of text (symbols from 1; 0 ends each piece) whose suffixes are sorted by their first depth symbols.
 
     That is as far as matching statistics up to depth need: the rows that start with a string of at most depth symbols
-    are adjacent, and extending a string of fewer than depth symbols to the left is exact."""
+    are adjacent, and extending a string of fewer than depth symbols to the left is exact.
 
-    def __init__(self, text: np.ndarray, symbols: int, depth: int):
+    What stays is the wavelet matrix, two bits a row that mark where groups of equal strings of depth and depth - 1
+    symbols begin, and a few numbers a group, no suffix array; values (one for each place of the text) are kept as
+    least, each group's smallest. keep: the suffixes stay too."""
+
+    def __init__(self, text: np.ndarray, symbols: int, depth: int, values: np.ndarray | None = None, keep: bool = False):
         self.depth, self.n = depth, len(text)
         ranks = {1: text.astype(np.int64)}
         size = 1
@@ -56,13 +68,17 @@ class FMIndex:
             size *= 2
         one_less = ranks[size] if size == depth - 1 else self._pair(ranks[size], depth - 1 - size)
         full = ranks[size] if size == depth else self._pair(ranks[size], depth - size)
-        self.suffixes = np.argsort(full, kind="stable")
-        self.group = full[self.suffixes]  # of each row, by its first depth symbols
-        parent = one_less[self.suffixes]
-        start = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]])
-        self.parent_of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, self.n]))
-        self.parents = np.r_[start, self.n]
-        self.wavelets = WaveletMatrix(text[self.suffixes - 1], symbols)
+        suffixes = np.argsort(full, kind="stable")
+        fresh = lambda x: np.r_[True, x[1:] != x[:-1]]
+        groups, parents = fresh(full[suffixes]), fresh(one_less[suffixes])
+        del ranks, full, one_less
+        self.groups, self.parent_of = Bits(groups), Bits(parents)
+        self.parents = np.r_[np.flatnonzero(parents), self.n]
+        if values is not None:
+            self.least = np.minimum.reduceat(values[suffixes], np.flatnonzero(groups))
+        if keep:
+            self.suffixes = suffixes
+        self.wavelets = WaveletMatrix(text[suffixes - 1], symbols)
         self.before = np.r_[0, np.cumsum(np.bincount(text, minlength=symbols))]
 
     @staticmethod
@@ -72,6 +88,10 @@ class FMIndex:
         later[: len(rank) - shift] = rank[shift:]
         return np.unique(rank * (int(rank.max(initial=0)) + 2) + later + 1, return_inverse=True)[1]
 
+    def group(self, row: np.ndarray) -> np.ndarray:
+        """The group of each row, by its first depth symbols."""
+        return self.groups.rank(row + 1) - 1
+
     def matches(self, start: np.ndarray, length: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Matching statistics of pieces of text, cut off at depth: for every place of a piece whose match with the
         index has depth symbols, (the place in text, a row of the index with that match).
@@ -89,7 +109,7 @@ class FMIndex:
             c = text[at]
             a, b, m = lo[:live], hi[:live], size[:live]
             full = np.flatnonzero(m == self.depth)
-            p = self.parent_of[a[full]]
+            p = self.parent_of.rank(a[full] + 1) - 1
             a[full], b[full], m[full] = self.parents[p], self.parents[p + 1], self.depth - 1
             a[:] = self.before[c] + self.wavelets.rank(c, a)
             b[:] = self.before[c] + self.wavelets.rank(c, b)

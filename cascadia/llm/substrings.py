@@ -85,14 +85,20 @@ def _unpack(data: bytes, kinds: list) -> list[np.ndarray]:
     return out
 
 
-#: Of distinct segments: hash, windows; of occurrences: segment, document, text's mark, first word; then
+#: Of distinct segments: hash, windows; of occurrences: segment, document, its text's hash, first word; then
 #: the dictionary and the words' codes in it.
-_KINDS = [np.uint64, np.int32, np.int32, np.int64, np.int32, np.int32, np.uint64, np.int32]
+_KINDS = [np.uint64, np.int32, np.int32, np.int64, np.int64, np.int32, np.uint64, np.int32]
 
 
-def mark(h: np.ndarray) -> int:
-    """32 bits of a text's words: tells apart texts under one doc_id."""
-    return int(mix(h, 41).sum(dtype=np.uint64) >> np.uint64(32)) - (1 << 31) if len(h) else -(1 << 31)
+def _named(docs: DataFrame) -> DataFrame:
+    """_text tells apart texts under one doc_id, so that a null or repeated one is no hot key."""
+    return docs.withColumn("_text", F.xxhash64("text"))
+
+
+def _same(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """docs joined with found (doc_id, the largest long for null, and _text)."""
+    found = found.withColumnsRenamed({"doc_id": "_id", "_text": "_hash"})
+    return docs.join(found, (F.coalesce(F.col("doc_id"), F.lit(_LAST)) == F.col("_id")) & (F.col("_text") == F.col("_hash")), how).drop("_id", "_hash")
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -113,7 +119,7 @@ def _anchors(window: int, parts: int):
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            anchor, doc, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            anchor, doc, ids, own_text = (np.concatenate(x) for x in zip(*held, strict=True))
             shard = (mix(anchor, 32) % np.uint64(parts)).astype(np.int64)
             half = _half(anchor)
             order = np.lexsort((doc, shard))
@@ -126,14 +132,14 @@ def _anchors(window: int, parts: int):
                     d = pairs >> 32
                     there, n = np.unique(d, return_counts=True)
                     at.append(p)
-                    data.append(_pack(ids[there], n.astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.uint32)))
+                    data.append(_pack(ids[there], own_text[there], n.astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.uint32)))
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(data, pa.binary())], names=["shard", "data"])
             held.clear()
 
         for b in slices(batches):
             w = cut(b.column("text"))
             doc, _, _, low = segments(w.hashes()[0], w.first, window)
-            held.append((low, doc + docs, _ids(b.column("doc_id"))))
+            held.append((low, doc + docs, _ids(b.column("doc_id")), b.column("_text").to_numpy()))
             words, docs = words + len(w.starts), docs + b.num_rows
             if words > 2 * BUFFER:
                 yield from flush()
@@ -144,18 +150,18 @@ def _anchors(window: int, parts: int):
 
 
 def _repeated(t: pa.Table) -> pa.Table:
-    """Of a shard's minimizers those that two documents or more have: doc_id, halves (its own, packed)."""
-    cols = [_unpack(x, [np.int64, np.int32, np.uint32]) for x in t.column("data").to_pylist()]
-    doc = np.concatenate([np.repeat(c[0], c[1]) for c in cols])
-    half = np.concatenate([c[2] for c in cols])
+    """Of a shard's minimizers those that two doc_ids or more have: doc_id, _text, halves (a document's own, packed)."""
+    cols = [_unpack(x, [np.int64, np.int64, np.int32, np.uint32]) for x in t.column("data").to_pylist()]
+    ids, texts, n, half = (np.concatenate([c[i] for c in cols]) for i in range(4))
+    of = np.repeat(np.arange(len(ids)), n)
     order = np.argsort(half, kind="stable")
     start = np.flatnonzero(np.r_[True, half[order][1:] != half[order][:-1]]) if len(half) else np.empty(0, np.int64)
-    low, high = (f.reduceat(doc[order], start) if len(start) else doc[:0] for f in (np.minimum, np.maximum))
+    low, high = (f.reduceat(ids[of[order]], start) if len(start) else ids[:0] for f in (np.minimum, np.maximum))
     keep = order[np.repeat(low < high, np.diff(np.r_[start, len(half)]))]
-    keep = keep[np.argsort(doc[keep], kind="stable")]
-    ids, first = np.unique(doc[keep], return_index=True)
-    data = [x.tobytes() for x in np.split(half[keep], first[1:])] if len(ids) else []
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "halves": pa.array(data, pa.binary())})
+    keep = keep[np.lexsort((half[keep], of[keep]))]
+    have, first = np.unique(of[keep], return_index=True)
+    data = [x.tobytes() for x in np.split(half[keep], first[1:])] if len(have) else []
+    return pa.table({"doc_id": pa.array(ids[have], pa.int64()), "_text": pa.array(texts[have], pa.int64()), "halves": pa.array(data, pa.binary())})
 
 
 def _cut_up(window: int, parts: int):
@@ -211,7 +217,7 @@ def _cut_up(window: int, parts: int):
             s = w.first[doc] + pos
             key = _stretches(h, s, s + count + window - 1)
             ids = _ids(b.column("doc_id"))
-            marks = np.array([mark(h[p:q]) for p, q in zip(w.first, w.first[1:], strict=False)], np.int32)
+            marks = b.column("_text").to_numpy()
             held.append((h, np.stack([(s + words).astype(np.uint64), count.astype(np.uint64), low, key, (doc + docs).astype(np.uint64), pos.astype(np.uint64)]), marks, ids))
             words, docs = words + len(h), docs + b.num_rows
             if words > BUFFER:
@@ -238,7 +244,7 @@ def _stretches(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
 
 
 def _search(window: int):
-    """Of a shard the words to remove: doc_id, mark, from, to (word numbers in the document)."""
+    """Of a shard the words to remove: doc_id, _text, from, to (word numbers in the document)."""
 
     def run(t: pa.Table) -> pa.Table:
         cols = [_unpack(x, _KINDS) for x in t.column("data").to_pylist()]
@@ -270,13 +276,11 @@ def _search(window: int):
         length = np.concatenate([x[1] for x in texts])
         text = np.concatenate([x[2] for x in texts])
         start = np.cumsum(length) - length
-        index = FMIndex(text, len(words) + 1, window)
+        index = FMIndex(text, len(words) + 1, window, least[np.repeat(owner, length)])
         place, row = index.matches(start, length - 1, text)
-        best = np.full(int(index.group.max()) + 1, _LAST)
-        np.minimum.at(best, index.group, least[np.repeat(owner, length)[index.suffixes]])
         # the smallest document of every window of every segment, in the order of the text
         found = np.full(len(text), _LAST)
-        found[place] = best[index.group[row]]
+        found[place] = index.least[index.group(row)]
         where = np.empty(len(rep), np.int64)
         where[owner] = start
         some = least[seg] < doc  # the whole segment stands in a smaller document: no need to look at its windows
@@ -293,39 +297,36 @@ def _search(window: int):
         which = np.concatenate([whole, of[edge]])
         first = np.concatenate([begin[whole], begin[of[edge]] + at[edge]])
         to = np.concatenate([begin[whole] + windows[whole], begin[of[last]] + at[last] + 1]) + window - 1
-        return pa.table({"doc_id": pa.array(doc[which]), "mark": pa.array(marks[which], pa.int32()), "from": pa.array(first.astype(np.int32)), "to": pa.array(to.astype(np.int32))})
+        return pa.table({"doc_id": pa.array(doc[which]), "_text": pa.array(marks[which]), "from": pa.array(first.astype(np.int32)), "to": pa.array(to.astype(np.int32))})
 
     return run
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id (the largest long for null), mark, from, to: stretches of words covered by windows that also start in a
-    document with a smaller doc_id."""
+    """doc_id (the largest long for null), _text (the text's xxhash64), from, to: stretches of words covered by windows
+    that also start in a document with a smaller doc_id."""
     parts = 2 * shards(docs.sparkSession)
-    texts = docs.select("doc_id", "text")
-    first = texts.mapInArrow(_anchors(window, parts), "shard int, data binary").groupBy("shard").applyInArrow(_repeated, "doc_id long, halves binary")
-    first = first.groupBy("doc_id").agg(F.collect_list("halves").alias("_halves")).withColumnRenamed("doc_id", "_id")
-    some = texts.join(first, F.coalesce(F.col("doc_id"), F.lit(_LAST)) == F.col("_id")).select("doc_id", "text", "_halves")
+    texts = _named(docs.select("doc_id", "text"))
+    first = texts.mapInArrow(_anchors(window, parts), "shard int, data binary").groupBy("shard").applyInArrow(_repeated, "doc_id long, _text long, halves binary")
+    first = first.groupBy("doc_id", "_text").agg(F.collect_set("halves").alias("_halves"))
+    some = _same(texts, first, "inner").select("doc_id", "text", "_text", "_halves")
     packed = some.mapInArrow(_cut_up(window, parts), "shard int, data binary")
-    return packed.groupBy("shard").applyInArrow(_search(window), "doc_id long, mark int, from int, to int")
+    return packed.groupBy("shard").applyInArrow(_search(window), "doc_id long, _text long, from int, to int")
 
 
-def _kept(words: list[bytes], spans: list, text: bytes) -> list[bytes]:
+def _kept(words: list[bytes], spans: list) -> list[bytes]:
     if not spans:
         return words
-    h = cut(pa.array([text], pa.binary()).cast(pa.string())).hashes()[0]
-    own = mark(h)
     keep = np.ones(len(words), bool)
     for s in spans:
-        if s["mark"] == own:
-            keep[s["from"] : s["to"]] = False
+        keep[s["from"] : s["to"]] = False
     return list(compress(words, keep.tolist()))
 
 
 def with_kept(docs: DataFrame, found: DataFrame, make, schema: str, names: list[str]) -> DataFrame:
     """docs with their stretches, and for each row make(text bytes, words, kept words) as further columns."""
-    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("mark", "from", "to")).alias("_spans")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(spans, F.coalesce(F.col("doc_id"), F.lit(_LAST)) == F.col("_id"), "left").drop("_id")
+    spans = found.groupBy("doc_id", "_text").agg(F.collect_set(F.struct("from", "to")).alias("_spans"))
+    joined = _same(_named(docs), spans, "left").drop("_text")
     kinds, own = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +335,7 @@ def with_kept(docs: DataFrame, found: DataFrame, make, schema: str, names: list[
             for text, spans in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist(), strict=True):
                 data = (text or "").encode()
                 words = data.split()
-                rows.append(make(text, words, _kept(words, spans, data)))
+                rows.append(make(text, words, _kept(words, spans)))
             made = [list(c) for c in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in own), *map(pa.array, made)], names=[*own, *names])
 

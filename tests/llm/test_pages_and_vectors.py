@@ -166,8 +166,10 @@ def test_fm_index():
     text = np.concatenate([np.r_[p, 0] for p in pieces])
     length = np.array([len(p) for p in pieces])
     start = np.cumsum(length + 1) - length - 1
-    index = FMIndex(text, 4, 5)
+    index = FMIndex(text, 4, 5, np.arange(len(text)), keep=True)
     place, row = index.matches(start, length, text)
     assert sorted(place.tolist()) == sorted(s + i for s, n in zip(start, length, strict=True) for i in range(n - 4))
     for p, r in zip(place, row, strict=True):
         assert (text[index.suffixes[r] :][:5] == text[p : p + 5]).all()
+        first = next(i for i in range(len(text)) if (text[i : i + 5] == text[p : p + 5]).all() and len(text) >= i + 5)
+        assert index.least[index.group(np.array([r]))[0]] == first
