@@ -3,7 +3,7 @@
 A page is a sequence of blocks of text, each with the path of block-level tags from the root to it. For each path, text
 length and punctuation per block are aggregated; the ratios are smoothed along the page with a Gaussian kernel, fused
 by multiplication and compared with a share of their standard deviation. The paths above it are content; their common
-container (or the nearest article or main element) is taken whole, less what is boilerplate by its tag, role or whole
+container (or the nearest article or main elements, one or several) is taken whole, less what is boilerplate by its tag, role or whole
 class or id, so that short paragraphs, headings and lists of links beside long ones stay. Names of which only a word is
 known, and lists that are mostly links, are left out outside that container, or where it is the whole page.
 """
@@ -38,6 +38,8 @@ _NAMES = re.compile(
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，！？；]")
 #: Share of the standard deviation of the fused ratios above which a path is content.
 THRESHOLD = 0.8
+#: Share of the greatest ratio that another path must have to name a container of its own.
+SHARE = 0.25
 _KERNEL = np.array([0.25, 0.5, 0.25])
 
 
@@ -161,8 +163,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, int]]:
     return found
 
 
-def _content(seen: list[tuple[tuple[str, ...], str, int, int]]) -> tuple[tuple[str, ...], set[tuple[str, ...]]] | None:
-    """The path of the container of content, and the paths of lists that are mostly links; None without content."""
+def _content(seen: list[tuple[tuple[str, ...], str, int, int]]) -> tuple[set[tuple[str, ...]], set[tuple[str, ...]]] | None:
+    """The paths of the containers of content, and those of lists that are mostly links; None without content."""
     if not seen:
         return None
     total = defaultdict(lambda: [0, 0, 0, 0])
@@ -183,14 +185,14 @@ def _content(seen: list[tuple[tuple[str, ...], str, int, int]]) -> tuple[tuple[s
     if not chosen:
         return None
     top = max(chosen, key=lambda p: total[p][1])
-    semantic = [k for k, name in enumerate(top) if name.split("#")[0] in ("article", "main")]
-    if semantic:
-        root = top[: semantic[-1] + 1]
+    heavy = [p for p in chosen if best[p] >= SHARE * best[top]]
+    named = [p[: k[-1] + 1] for p in heavy if (k := [i for i, name in enumerate(p) if name.split("#")[0] in ("article", "main")])]
+    if any(top[: len(p)] == p for p in named):
+        roots = set(named)  # several articles of a page are content alike
     else:
-        heavy = [p for p in chosen if best[p] >= 0.25 * best[top]]
         n = next((k for k in range(min(map(len, heavy))) if len({p[k] for p in heavy}) > 1), min(map(len, heavy)))
-        root = top[: min(n, len(top) - 1)]
-    return root, {p for p, t in total.items() if t[3] > 0.6 * (t[1] + t[3]) and t[0] > 1}
+        roots = {top[: min(n, len(top) - 1)]}
+    return roots, {p for p, t in total.items() if t[3] > 0.6 * (t[1] + t[3]) and t[0] > 1}
 
 
 def main_text(page: str | None) -> str:
@@ -201,9 +203,9 @@ def main_text(page: str | None) -> str:
     found = next(filter(None, (_content([x for x in kept if x[3] <= most]) for most in (0, 1))), None)
     if not found:
         return ""
-    root, lists = found
-    inner = any(name.split("#")[0] in _CONTAINERS | {"article", "main"} for name in root)
-    return "\n\n".join(text for path, text, _, bad in kept if path[: len(root)] == root and (inner or not (bad or path in lists)))
+    roots, lists = found
+    inner = any(name.split("#")[0] in _CONTAINERS | {"article", "main"} for root in roots for name in root)
+    return "\n\n".join(text for path, text, _, bad in kept if any(path[: len(r)] == r for r in roots) and (inner or not (bad or path in lists)))
 
 
 def extract(pages):

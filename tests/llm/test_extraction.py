@@ -31,3 +31,21 @@ def test_article_text_stays(inside, want):
 def test_names_of_wrappers():
     assert extraction.main_text(f"<body><div class='with-sidebar'><div id='legal-text'><p>{LONG}</p><p>End.</p></div></div></body>") == f"{LONG}\n\nEnd."
     assert extraction.main_text(f"<body><p>{LONG}</p><div class='cookie-notice'>We use cookies.</div></body>") == LONG
+
+
+FIRST, SECOND = "One paragraph of some length, with words. And more of them; it goes on and on.", "Another one, quite as long as that. It has commas, too; and it ends here."
+MENU = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/x'>Products</a></li></ul></nav>"
+
+
+@pytest.mark.parametrize("body", [
+    f"{MENU}<article><p>{FIRST}</p></article><article><p>{SECOND}</p></article><footer>us</footer>",
+    f"{MENU}<main><article><p>{FIRST}</p></article><article><p>{SECOND}</p></article></main>",
+    f"<div class='layout has-sidebar'><article><p>{FIRST}</p><p>{SECOND}</p></article><div class='sidebar'><p>Side text, not it.</p></div></div>",
+    f"<div class='post with-comments'><p>{FIRST}</p><p>{SECOND}</p></div>",
+    f"<div><a href='/'>Home</a> <a href='/b'>About</a></div><div><p>{FIRST}</p><p>{SECOND}</p></div><div><a href='/x'>Terms</a></div>",
+    f"<table><tr><td><a href='/'>Home</a><br><a href='/2'>More</a></td><td><p>{FIRST}</p><p>{SECOND}</p></td></tr></table>",
+    f"{MENU}<div><p>{FIRST}</p></div><div><p>{SECOND}</p></div><footer>us</footer>",
+    f"<article><p>{FIRST}</p><p>{SECOND}</p></article><section class='comments'><article class='comment'><p>Nice post, I liked it, really. It is good, so good.</p></article></section>",
+])
+def test_whole_article_of_many_shapes(body):
+    assert extraction.main_text(f"<html><body>{body}</body></html>") == f"{FIRST}\n\n{SECOND}"
