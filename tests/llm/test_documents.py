@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -120,6 +121,28 @@ def test_packing(make):
     assert packing.pack(make([])).count() == 0
 
 
+def pieces_of(coder, text, limit=1024):
+    """(piece, start, length, crc32) of a text's pieces, from the tokenizer itself."""
+    ids = [*coder.tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+    cuts = list(range(len(ids), 0, -limit))[::-1]
+    return [(i, max(0, e - limit), e - max(0, e - limit), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[max(0, e - limit) : e]))) for i, e in enumerate(cuts)]
+
+
+def test_packing_ids_against_the_tokenizer(make):
+    rows = [*corpus(13), (None, "no id"), (None, "no id"), (4, "again"), (4, "again"), (4, "日本語 text"), (None, None)]
+    got = Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packing.pack(make(rows)).collect())
+    coder = packing.Encoder(packing.default_tokenizer())
+    assert got == Counter((d, *x) for d, t in rows for x in pieces_of(coder, t))
+
+
+def test_encoder_of_another_file():
+    import public_tokenizers
+
+    coder = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    for t in ("Hello there,  you\n\n 123 times", "", "don't", "x  y"):
+        assert coder.encode(t, True) == coder.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_encoder_is_the_tokenizer():
     rng = random.Random(5)
     coder = packing.Encoder(packing.default_tokenizer())
@@ -157,6 +180,14 @@ def test_sharding(make):
     assert sharding.shard(make([]), 8).count() == 0
 
 
+def test_sharding_sizes_and_hashes(make):
+    rows = [*corpus(14), *((2000 + i, "hot text") for i in range(5000)), (None, "日本"), (None, None), (7, "x"), (7, "x")]
+    got = sharding.shard(make(rows), 8).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in rows)
+    counts = Counter(r["shard"] for r in got)
+    assert len(counts) == 8 and max(counts.values()) - min(counts.values()) <= 1
+
+
 def test_quotas_keep_sizes():
     asked, free = [[0, 5, 0], [2, 0, 0], [9, 0, 0]], [3, 0, 4]
     moves = sharding.quotas(asked, free)
@@ -202,6 +233,26 @@ def test_licenses(make):
     assert licenses.scan(make([])).count() == 0
 
 
+def test_licenses_in_odd_rows(make):
+    rows = [(1, None), (None, "Released under the MIT License."), (None, "Released under the MIT License."), (3, ""), (3, "Released under the MIT License."), (5, "pad " * 200_000 + "Released under the MIT License." + " pad" * 1000), (6, "z" * 300_000)]
+    got = Counter((r["doc_id"], r["license"]) for r in licenses.scan(make(rows)).collect())
+    assert got == {(None, "mit"): 2, (3, "mit"): 1, (5, "mit"): 1}
+
+
+def test_toxicity_of_odd_rows(make, spark):
+    rng = random.Random(15)
+    words = [f"word{i}" for i in range(200)]
+    rows = [(i, " ".join([*(rng.choice(words) for _ in range(30)), *(["vile"] if i % 2 else [])])) for i in range(300)]
+    docs = make([*rows, *rows[:20], *((11, "repeated " * 5) for _ in range(50)), (12, "word1 " * 60_000), (None, "vile"), (900, "word1 " * 50_000 + "vile")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(None, 1), (12, None), (5, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, sample=100, size=40_000)
+    got = toxicity.score(docs.withColumn("score", F.lit("kept?")).withColumn("threshold", F.lit(7.5)), model, ("score", "line", "bad"))
+    assert got.columns == [*docs.columns, "threshold", "score", "line", "bad"] and got.where("threshold <> 7.5").count() == 0
+    rows = got.collect()
+    assert len(rows) == 300 + 20 + 50 + 3 and all(0 <= r["score"] <= 1 for r in rows)
+    assert sum(r["bad"] == bool(r["doc_id"] % 2) for r in rows if r["doc_id"] is not None and r["doc_id"] < 300 and r["text"].startswith("word")) >= 280
+
+
 def test_toxicity_on_held_out_rows(make, spark):
     rng = random.Random(8)
     clean = [f"word{i}" for i in range(400)]
