@@ -26,7 +26,8 @@ def table(df: DataFrame, name: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Spark knows."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -34,7 +35,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def drop(df: DataFrame) -> None:
     """Delete a table that table() has written and that nothing lazy reads any more."""
     for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
 
 
 @contextmanager
@@ -42,7 +43,7 @@ def stage(spark: SparkSession) -> Iterator[None]:
     """For a stage whose predecessor's result is already written out: deletes the tables that stages left before, and
     lets go of their plans, broadcasts and shuffle files, which Spark cleans up after a collection alone."""
     while _left:
-        _delete(spark, _left.pop())
+        delete(spark, _left.pop())
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     at = len(_written)
