@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from cascadia.llm import stages
-from cascadia.llm.store import shared_dir
+from cascadia.llm.store import delete, shared_dir
 
 STAGES = [
     ("toxicity", stages.drop_toxic),
@@ -27,10 +27,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; returns the last one's rows."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of sf_dir; returns the last one's rows. A stage's table goes once the next one is
+    written.
+
+    Null and empty texts, null and repeated doc_ids, equal rows and columns of any further names are defined by the
+    stages, each for itself; an empty table gives no rows.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
         path = f"{shared_dir(spark).rstrip('/')}/pipeline-{i}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
