@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cascadia.llm.store import table
+from cascadia.llm.store import let_go, table
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,4 +58,5 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
+    let_go(links.sparkSession)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

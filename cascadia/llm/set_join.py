@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cascadia.llm.components import components
-from cascadia.llm.store import drop, shards, table
+from cascadia.llm.store import drop, let_go, shards, table
 from cascadia.llm.words import CHUNK, cut, mix, shingles, slices
 
 #: Counters of the corpus sketch, and into how many pieces it is cut on its way.
@@ -360,6 +360,7 @@ def linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     both = pairs.select("x", "y").join(have.select(F.col("key").alias("y"), F.col("set").alias("b")), "y").join(have.select(F.col("key").alias("x"), F.col("set").alias("a")), "x")
     out = table(both.select("x", "y", "a", "b").mapInArrow(_overlaps(percent), "u long, v long"), "join-links")
     drop(written)
+    let_go(docs.sparkSession)
     return out
 
 

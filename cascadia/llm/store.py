@@ -38,14 +38,20 @@ def drop(df: DataFrame) -> None:
         delete(df.sparkSession, path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """For the end of a round of many jobs, whose results are written: frees what their plans hold on the driver. Spark
+    removes broadcasts and shuffle files of frames that are gone after a collection alone."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def stage(spark: SparkSession) -> Iterator[None]:
     """For a stage whose predecessor's result is already written out: deletes the tables that stages left before, and
     lets go of their plans, broadcasts and shuffle files, which Spark cleans up after a collection alone."""
     while _left:
         delete(spark, _left.pop())
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    let_go(spark)
     at = len(_written)
     try:
         yield
