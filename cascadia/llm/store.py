@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cascadia.functions.tables import shared_dir
 
+#: The operation by which HotSpot on Linux hands freed native memory back.
+TRIM = "systemTrimNativeHeap"
+
 _written: list[str] = []
 _left: list[str] = []
 
@@ -40,9 +43,27 @@ def drop(df: DataFrame) -> None:
 
 def let_go(spark: SparkSession) -> None:
     """For the end of a round of many jobs, whose results are written: frees what their plans hold on the driver. Spark
-    removes broadcasts and shuffle files of frames that are gone after a collection alone."""
+    removes broadcasts and shuffle files of frames that are gone after a collection alone. What the JVM's compilers
+    have freed goes back to the system too, where the JVM can do that: malloc would keep some 200 MB."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    _trim(spark)
+
+
+def _trim(spark: SparkSession) -> None:
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    beans = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    methods = {m.getName(): m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() in ("isRegistered", "getMBeanInfo", "invoke")}
+
+    def call(name, *args):  # the server's own class is hidden, its interface is not
+        given = gateway.new_array(jvm.java.lang.Object, len(args))
+        for i, x in enumerate(args):
+            given[i] = x
+        return methods[name].invoke(beans, given)
+
+    commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    if call("isRegistered", commands) and TRIM in {x.getName() for x in call("getMBeanInfo", commands).getOperations()}:
+        call("invoke", commands, TRIM, None, None)
 
 
 @contextmanager
