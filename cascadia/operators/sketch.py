@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cascadia.functions.tables import settle
-from cascadia.operators.reach import FOUND, LOCAL, largest
+from cascadia.operators.reach import LOCAL, largest
+
+FOUND = 1 << 24
 
 
 def _smallest(df: DataFrame, keys: list[str], k: int) -> DataFrame:

@@ -12,7 +12,8 @@ from cascadia.functions.hashing import hashed, murmur
 from cascadia.operators import greedy, influence, ranks, sampling, sketch
 from cascadia.operators.graph import Graph
 from cascadia.operators.live import live_edges
-from cascadia.operators.reach import pack, reach, spread
+from cascadia.operators import reach as searches
+from cascadia.operators.reach import firsts, pack, reach, sizes, spread
 from cascadia.sources import binary, text
 
 # fixed values: u, v, i, l, seed and the hash
@@ -65,6 +66,55 @@ def test_strategies_agree(spark):
     assert ranks.is_permutation(order.withColumnRenamed("rank", "value"), 160)
 
 
+@pytest.fixture
+def many(spark, monkeypatch):
+    """A live instance of 40,000 arcs, twice; rounds would write tables, which raises here."""
+
+    def refuse(*_):
+        raise AssertionError("a round")
+
+    monkeypatch.setattr(searches, "settle", refuse)
+    monkeypatch.setattr(sketch, "settle", refuse)
+    arcs = spark.range(40_000).select((2 * F.col("id")).alias("src"), (2 * F.col("id") + 1).alias("dst"))
+    g = Graph.from_arcs(arcs)
+    return g, live_edges(g, "binary", 2, p=1.0)
+
+
+def test_counts_agree_with_pairs(spark):
+    rng = random.Random(3)
+    live = live_edges(graph(spark, [(rng.randrange(50), rng.randrange(50)) for _ in range(140)], n=50), "weighted", 3).cache()
+    sets = spark.range(50).select(F.floor(F.col("id") / 3).alias("q"), F.col("id").alias("v"))
+    found = list(map(tuple, reach(live, sets, 3, strategy="rounds").collect()))
+    want, first, least = {}, {}, {}
+    for q, i, v in found:
+        want[q, i] = want.get((q, i), 0) + 1
+        least[i, v] = min(q, least.get((i, v), q))
+    for (i, _), q in least.items():
+        first[q, i] = first.get((q, i), 0) + 1
+    for strategy in ("rounds", "worlds"):
+        assert {(r["q"], r["i"]): r["size"] for r in sizes(live, sets, 3, strategy=strategy).collect()} == want
+        assert {(r["q"], r["i"]): r["size"] for r in firsts(live, sets, 3, strategy).collect() if r["size"]} == first
+
+
+def test_many_queries_are_counted_where_they_are_found(many):
+    g, live = many
+    got = influence.exact(live, g.vertices().select(F.col("v").alias("q"), "v"), 2)
+    assert {(r["exact"], r["n"]) for r in got.groupBy("exact").agg(F.count("*").alias("n")).collect()} == {(1.0, 40_000), (2.0, 40_000)}
+
+
+def test_many_marginals_pass_each_vertex_once(many):
+    g, live = many
+    got = influence.marginals(live, g.vertices().select((F.col("v") + 1).cast("int").alias("step"), "v"), 2)
+    assert {(r["marginal"], r["n"]) for r in got.groupBy("marginal").agg(F.count("*").alias("n")).collect()} == {(0.0, 40_000), (2.0, 40_000)}
+
+
+def test_many_queries_reach_without_rounds(many):
+    g, live = many
+    own = g.vertices().select(F.col("v").alias("q"), "v")
+    assert reach(live, own, 2).count() == 240_000
+    assert reach(live.select("i", F.col("dst").alias("src"), F.col("src").alias("dst")), own, 2).count() == 240_000
+
+
 def test_union_estimator(spark):
     sk = spark.createDataFrame([(0, i + 1, r) for i, r in enumerate([1, 4, 9])] + [(1, i + 1, r) for i, r in enumerate([4, 12])], "u long, pos int, rank long")
     both = spark.createDataFrame([(0, 0), (0, 1), (0, 1)], "q long, v long")
