@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cascadia.functions.tables import settle
-from cascadia.operators.reach import reach
+from cascadia.operators.reach import reach, sizes
 from cascadia.operators.sketch import estimate
 
 
 def exact(live: DataFrame, seeds: DataFrame, l: int, strategy: str = "auto") -> DataFrame:  # noqa: E741
     """q, exact: the mean number of vertices that each seed set (q, v) reaches over l instances."""
-    return reach(live, seeds, l, strategy=strategy).groupBy("q").agg((F.count("*") / F.lit(l)).alias("exact"))
+    return sizes(live, seeds, l, strategy=strategy).groupBy("q").agg((F.sum("size") / F.lit(l)).alias("exact"))
 
 
 def marginals(live: DataFrame, steps: DataFrame, l: int, strategy: str = "auto") -> DataFrame:  # noqa: E741
