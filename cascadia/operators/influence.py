@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cascadia.functions.tables import settle
-from cascadia.operators.reach import reach, sizes
+from cascadia.operators.reach import firsts, sizes
 from cascadia.operators.sketch import estimate
 
 
@@ -19,8 +19,8 @@ def exact(live: DataFrame, seeds: DataFrame, l: int, strategy: str = "auto") ->
 
 def marginals(live: DataFrame, steps: DataFrame, l: int, strategy: str = "auto") -> DataFrame:  # noqa: E741
     """step, v, marginal: what each seed of a sequence (step, v) adds over l instances; all steps in one search."""
-    found = reach(live, steps.select(F.col("step").cast("long").alias("q"), "v"), l, strategy=strategy)
-    first = found.groupBy("i", "v").agg(F.min("q").alias("q")).groupBy("q").agg((F.count("*") / F.lit(l)).alias("marginal"))
+    found = firsts(live, steps.select(F.col("step").cast("long").alias("q"), "v"), l, strategy)
+    first = found.groupBy("q").agg((F.sum("size") / F.lit(l)).alias("marginal"))
     return steps.select("step", "v").join(first, F.col("step") == F.col("q"), "left").select("step", "v", F.coalesce("marginal", F.lit(0.0)).alias("marginal"))
 
 
