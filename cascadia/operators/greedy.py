@@ -13,11 +13,13 @@ from cascadia.operators.graph import Graph
 from cascadia.operators.influence import cumulative, marginals
 from cascadia.operators.live import INSTANCES, SEED, live_edges
 from cascadia.operators.ranks import stratified
-from cascadia.operators.reach import LOCAL, largest, pack, reach, spread
+from cascadia.operators.reach import LOCAL, largest, pack, reach, search, sizes, spread
 from cascadia.operators.sketch import per_instance
 
 #: The share of all ranks that is taken at first; it doubles as long as no vertex has k of them.
 FIRST = 1 / 256
+#: The share of all ranks after which every vertex's uncovered pairs are counted, to know whether any has k.
+COUNTED = 1 / 16
 #: Tables of covered pairs that are read side by side before they are written as one.
 TABLES = 16
 
@@ -33,7 +35,9 @@ def maximize(graph: Graph, model: str = "weighted", n_seeds: int = 0, k: int = 6
 
     Only ranks below a bound are followed back to the vertices that reach them; the bound doubles when no vertex has k
     of them. What reaches an uncovered pair is uncovered itself, so entries found stay right until their own pair is
-    covered, and each rank is followed once. One row a step comes to the driver.
+    covered, and each rank is followed once. Before most ranks have been followed, all vertices' uncovered pairs are
+    counted without keeping them; from then on entries are kept of vertices that have k alone, of none if none has.
+    The counts lose what each seed covers. One row a step comes to the driver.
     """
     if k < 2:
         raise ValueError("k is 2 at least")
@@ -44,7 +48,7 @@ def maximize(graph: Graph, model: str = "weighted", n_seeds: int = 0, k: int = 6
     total = 0 if total is None else total + 1
     packed = settle(pack(live), "packed") if strategy == "worlds" or strategy == "auto" and largest(live) <= LOCAL else None
     covered: list[DataFrame] = []
-    entries, upto = None, 0
+    entries, counts, upto = None, None, 0
     chosen: list[tuple] = []
     spent = [0.0, 0.0]
 
@@ -56,21 +60,29 @@ def maximize(graph: Graph, model: str = "weighted", n_seeds: int = 0, k: int = 6
     while len(chosen) < (n_seeds or n):
         began = time.time()
         while True:
-            r = None
+            best = most = None
             if entries is not None:
-                per = entries.groupBy("u").agg(F.count("*").alias("size"), F.when(F.count("*") >= k, F.element_at(F.sort_array(F.collect_list("rank")), k)).alias("kth"))
-                r = per.agg(F.min(F.when(F.col("kth").isNotNull(), F.struct("kth", "u"))).alias("best"), F.max(F.struct("size", -F.col("u"))).alias("most")).first()
-            if upto >= total or r is not None and r["best"] is not None:
+                per = entries.groupBy("u").agg(F.when(F.count("*") >= k, F.element_at(F.sort_array(F.collect_list("rank")), k)).alias("kth"))
+                best = per.where("kth is not null").agg(F.min(F.struct("kth", "u")).alias("best")).first()["best"]
+            if best is not None:
                 break
+            if counts is None and upto >= total * COUNTED:
+                counts = settle(_counts(live, graph, l, covered, strategy), "counts")
+            if counts is not None:
+                most = counts.agg(F.max(F.struct("size", -F.col("u"))).alias("most")).first()["most"]
+                if most is None or most["size"] < k:
+                    break
             low, upto = upto, min(total, max(2 * upto, k, int(total * FIRST)))
-            fresh = per_instance(live, open_pairs(low, upto), None, strategy).select("u", "rank")
+            fresh = _reaching(live, open_pairs(low, upto), l, packed is not None).select("u", "rank")
+            if counts is not None:
+                fresh = fresh.join(counts.where(F.col("size") >= k).select("u"), "u", "left_semi")
             entries = settle(fresh if entries is None else entries.unionByName(fresh), "entries")
         spent[0] += time.time() - began
         began = time.time()
-        if r is not None and r["best"] is not None:
-            u, value, saturated, used = r["best"]["u"], (k - 1) * n / (r["best"]["kth"] + 1), False, r["best"]["kth"] + 1
-        elif r is not None and r["most"] is not None:
-            u, value, saturated, used = -r["most"]["col2"], r["most"]["size"] / l, True, total
+        if best is not None:
+            u, value, saturated, used = best["u"], (k - 1) * n / (best["kth"] + 1), False, best["kth"] + 1
+        elif most is not None:
+            u, value, saturated, used = -most["col2"], most["size"] / l, True, total
         else:
             break
         # what a covered pair reaches is covered, so that the search may pass covered pairs
@@ -81,7 +93,14 @@ def maximize(graph: Graph, model: str = "weighted", n_seeds: int = 0, k: int = 6
         began = time.time()
         chosen.append((len(chosen) + 1, u, float(value), count, saturated, *(1000 * x for x in spent), used))
         gone = ranks.where(F.col("rank") < upto).join(fresh, ["i", "v"]).select("rank")
-        entries = settle(entries.join(gone, "rank", "left_anti"), "entries")
+        if counts is not None and len(chosen) < (n_seeds or n):
+            lost = _reaching(live, fresh.withColumn("rank", F.col("v")), l, packed is not None).groupBy("u").agg(F.count("*").alias("lost"))
+            left = counts.join(lost, "u", "left").select("u", (F.col("size") - F.coalesce("lost", F.lit(0))).alias("size"))
+            counts = settle(left.where("size > 0"), "counts")
+        if saturated:  # then no vertex has k pairs any more
+            entries = None
+        else:
+            entries = settle(entries.join(gone, "rank", "left_anti"), "entries")
         covered.append(fresh)
         if len(covered) > TABLES:
             covered = [settle(reduce(DataFrame.unionByName, covered), "covered")]
@@ -94,6 +113,21 @@ def maximize(graph: Graph, model: str = "weighted", n_seeds: int = 0, k: int = 6
     return cumulative(seeds)
 
 
+def _reaching(live: DataFrame, pairs: DataFrame, l: int, local: bool) -> DataFrame:  # noqa: E741
+    """u, rank: the vertices that reach each of some pairs (v, i, rank) in its instance, a row for each pair."""
+    if not local:
+        return per_instance(live, pairs, None, "rounds").select("u", "rank")
+    back = live.select("i", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return search(back, pairs.select(F.col("rank").alias("q"), "i", "v"), l, "pairs", largest(pairs)).select(F.col("v").alias("u"), F.col("q").alias("rank"))
+
+
+def _counts(live: DataFrame, graph: Graph, l: int, covered: list[DataFrame], strategy: str) -> DataFrame:  # noqa: E741
+    """u, size: how many uncovered pairs each vertex reaches, 1 at least."""
+    every = graph.vertices().select(F.col("v").alias("q"), "v")
+    found = sizes(live, every, l, reduce(DataFrame.unionByName, covered) if covered else None, strategy)
+    return found.groupBy(F.col("q").alias("u")).agg(F.sum("size").alias("size"))
+
+
 def quality_gap(seeds: DataFrame) -> DataFrame:
     """One row: seeds, est and exact spread, and how far the exact one stays behind, in per cent."""
     return seeds.agg(F.count("*").alias("seeds"), F.sum("est").alias("est"), F.sum("exact").alias("exact"), (100 * (1 - F.sum("exact") / F.sum("est"))).alias("gap"))

@@ -115,6 +115,23 @@ def test_many_queries_reach_without_rounds(many):
     assert reach(live.select("i", F.col("dst").alias("src"), F.col("src").alias("dst")), own, 2).count() == 240_000
 
 
+def test_large_sketches_need_no_rounds(spark, many):
+    g, live = many
+    got = sketch.lists(live, ranks.full(spark, g.n, 2), 256)
+    assert sketch.combined(got, 256).count() == 240_000
+    assert sketch.combined(got, 3).groupBy("u").count().groupBy("count").count().count() == 2  # 2 of a head, 3 of a tail's 4
+
+
+def test_lists_in_several_rows(spark, monkeypatch):
+    monkeypatch.setattr(sketch, "STEP", 8)
+    monkeypatch.setattr(sketch, "HELD", 16)
+    rng = random.Random(4)
+    live = live_edges(graph(spark, [(rng.randrange(40), rng.randrange(40)) for _ in range(120)], n=40), "weighted", 3).cache()
+    order = ranks.full(spark, 40, 3).cache()
+    want = sketch.combined(sketch.per_instance(live, order, 5, "rounds"), 5).collect()
+    assert sorted(map(tuple, sketch.combined(sketch.lists(live, order, 5), 5).collect())) == sorted(map(tuple, want))
+
+
 def test_union_estimator(spark):
     sk = spark.createDataFrame([(0, i + 1, r) for i, r in enumerate([1, 4, 9])] + [(1, i + 1, r) for i, r in enumerate([4, 12])], "u long, pos int, rank long")
     both = spark.createDataFrame([(0, 0), (0, 1), (0, 1)], "q long, v long")
@@ -255,6 +272,12 @@ def test_greedy_against_brute_force(spark):
         assert [(r["v"], r["est"], r["exact"], r["saturated"]) for r in got] == (want if strategy == "auto" else want[:3])
 
 
+def test_saturated_seeds_need_no_rounds(many):
+    g, _ = many
+    got = greedy.maximize(g, "weighted", 2, 600, 2).collect()
+    assert [(r["v"], r["est"], r["exact"], r["saturated"]) for r in got] == [(0, 2.0, 2.0, True), (2, 2.0, 2.0, True)]
+
+
 def test_neighbourhood_sets_lie_in_balls(spark):
     """Every set is made of whole levels of balls around tails of arcs, but for the last ball's draw."""
     rng = random.Random(12)
