@@ -274,6 +274,54 @@ def test_toxicity_on_held_out_rows(make, spark):
     assert toxicity.score(make([]), none).count() == 0
 
 
+def test_toxicity_learns_from_all_labelled_rows(make, spark):
+    rng = random.Random(5)
+    rows, marks = [], []
+    for i in range(2400):  # each of the 120 marks of toxic rows is in some ten of them, too few in any hundred rows
+        w = [f"word{rng.randrange(300)}" for _ in range(25)]
+        if i % 2:
+            w[rng.randrange(25)] = f"{i // 2 % 120}mark"
+        rows.append((i, " ".join(w)))
+        marks.append((i, i % 2))
+    for i in range(2400, 2440):  # one word that only long texts have
+        rows.append((i, "word1 " * 30_000 + ("endmost" if i % 2 else "ending")))
+        marks.append((i, i % 2))
+    docs, labels = make(rows), spark.createDataFrame(marks, "doc_id long, toxic int")
+    want = {i for i in range(2440) if zlib.crc32(str(i).encode()) % 5}
+    marks = toxicity.marked(labels)
+    assert {r["doc_id"] for r in marks.collect()} == want
+    likely = toxicity._likely(docs, marks, len(want)).cache()
+    assert want <= {r["doc_id"] for r in likely.collect()}
+    packed = toxicity._shards(likely, marks, 9).toArrow().to_batches()
+    parts = [x for calibrates in (False, True) for x in toxicity._unpacked(packed, calibrates)]
+    assert sum(len(x[3]) for x in parts) == len(want) and sum(x[3].sum() for x in parts) == sum(i % 2 for i in want)
+    assert sum(len(x[1]) for x in parts) == sum(len(rows[i][1].split()) for i in want)
+    model = toxicity.fit(docs, labels, sample=100)
+    new = [(-1 - k, f"word5 word6 {k}mark word7") for k in range(120)] + [(-200, "word5 endmost")] + [(-300 - k, f"word5 word6 word{k} word7") for k in range(120)]
+    got = {r["doc_id"]: r["score"] >= 0.5 for r in toxicity.score(make(new), model).collect()}
+    assert sum(got[-1 - k] for k in range(120)) >= 110 and got[-200] and sum(got[-300 - k] for k in range(120)) <= 10
+    again = toxicity.fit(docs.repartition(7), labels.repartition(3), sample=100)
+    assert all(np.array_equal(x, y) for x, y in zip([model.words, model.out, *model.filters, *model.bias], [again.words, again.out, *again.filters, *again.bias], strict=True))
+
+
+def test_toxicity_lines_come_from_all_calibrating_rows(make, spark):
+    model = toxicity.start(np.zeros((2, toxicity.FEATURES)), (0, 0))[0]
+    rows = [(i, f"word{i * 37 % 500} other{i * 11 % 90}") for i in range(700)]
+    labels = spark.createDataFrame([(i, int(i * 37 % 500 < 100)) for i in range(700)], "doc_id long, toxic int")
+    docs, marks = make(rows), toxicity.marked(labels)
+    line = toxicity._lines(toxicity._shards(docs, marks, 6), model)
+    found = docs.join(marks, "doc_id").where(toxicity._calibrates("doc_id")).collect()
+    own = sorted(((float(model.margins(*toxicity.features(pa.array([r["text"]])))[0]), r["toxic"]) for r in found), reverse=True)
+    total, best = sum(y for _, y in own), (-1, 0)
+    for i, (x, _) in enumerate(own):
+        if i + 1 == len(own) or own[i + 1][0] < x:
+            best = max(best, (2 * sum(y for _, y in own[: i + 1]) / (i + 1 + total), x))
+    under = [x for x, _ in own if x < best[1]]
+    assert set(line) == {None, "en"} and line[None] == line["en"]
+    assert abs(line[None] - ((best[1] + under[0]) / 2 if under else best[1])) < 1e-6
+
+
+
 def test_stages_keep_columns(make, spark, tmp_path):
     rows = corpus(9)
     docs = make(rows)
