@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cascadia.functions.tables import settle
-from cascadia.operators.reach import LOCAL, STEP, gather, largest, neighbours, search, worlds
+from cascadia.operators.reach import LOCAL, STEP, gather, largest, neighbours, reach, search, worlds
 
 #: Entries that a task holds before it hands on lists of them, and vertices whose lists it hands on at once.
 HELD, LISTS = 1 << 22, 1 << 16
@@ -118,6 +118,13 @@ def combined(sketches: DataFrame, k: int) -> DataFrame:
     return own.select("u", F.posexplode("ranks").alias("pos", "rank")).select("u", (F.col("pos") + 1).alias("pos"), "rank")
 
 
+def of(live: DataFrame, ranks: DataFrame, vertices: DataFrame, k: int, l: int, strategy: str = "auto") -> DataFrame:  # noqa: E741
+    """u, pos, rank: the rows of combined() for some vertices (v), by a search from each over the l instances. Where
+    they are few, all vertices' sketches need not be grown. ranks (v, i, rank) are read once."""
+    found = reach(live, vertices.select(F.col("v").alias("q"), "v").distinct(), l, strategy=strategy)
+    return _smallest(found.join(ranks, ["i", "v"]).select(F.col("q").alias("u"), "rank"), ["u"], k).select("u", "pos", "rank")
+
+
 def build(graph, model: str, k: int, l: int, seed: int, p: float = 0.1, strategy: str = "auto") -> DataFrame:  # noqa: E741
     """The combined sketches of a graph's vertices; write them out as the index that estimates are made from."""
     from cascadia.operators.live import live_edges

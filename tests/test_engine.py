@@ -132,6 +132,16 @@ def test_lists_in_several_rows(spark, monkeypatch):
     assert sorted(map(tuple, sketch.combined(sketch.lists(live, order, 5), 5).collect())) == sorted(map(tuple, want))
 
 
+def test_sketches_of_some_vertices(spark):
+    rng = random.Random(6)
+    live = live_edges(graph(spark, [(rng.randrange(50), rng.randrange(50)) for _ in range(150)], n=50), "binary", 3, 5, 0.5).cache()
+    order = ranks.full(spark, 50, 3).cache()
+    some = spark.createDataFrame([(v,) for v in (3, 7, 7, 20, 49)], "v long")
+    want = sorted(tuple(r) for r in sketch.combined(sketch.lists(live, order, 5), 5).collect() if r["u"] in (3, 7, 20, 49))
+    for strategy in ("worlds", "rounds", "auto"):
+        assert sorted(map(tuple, sketch.of(live, order, some, 5, 3, strategy).collect())) == want
+
+
 def test_union_estimator(spark):
     sk = spark.createDataFrame([(0, i + 1, r) for i, r in enumerate([1, 4, 9])] + [(1, i + 1, r) for i, r in enumerate([4, 12])], "u long, pos int, rank long")
     both = spark.createDataFrame([(0, 0), (0, 1), (0, 1)], "q long, v long")
