@@ -13,13 +13,16 @@ from cascadia.operators.graph import Graph
 from cascadia.operators.influence import cumulative, marginals
 from cascadia.operators.live import INSTANCES, SEED, live_edges
 from cascadia.operators.ranks import stratified
-from cascadia.operators.reach import LOCAL, largest, pack, reach, search, sizes, spread
+from cascadia.operators.reach import LOCAL, bounds, largest, pack, reach, search, sizes, spread
 from cascadia.operators.sketch import per_instance
 
 #: The share of all ranks that is taken at first; it doubles as long as no vertex has k of them.
 FIRST = 1 / 256
-#: The share of all ranks after which every vertex's uncovered pairs are counted, to know whether any has k.
+#: The share of all ranks after which uncovered pairs are counted, to know whether any vertex has k. They are counted at
+#: once where more ranks than that are likely to be needed.
 COUNTED = 1 / 16
+#: The share of the largest count from which on counts are made, so that they serve later steps too.
+SLACK = 3 / 4
 #: Tables of covered pairs that are read side by side before they are written as one.
 TABLES = 16
 
@@ -35,9 +38,11 @@ def maximize(graph: Graph, model: str = "weighted", n_seeds: int = 0, k: int = 6
 
     Only ranks below a bound are followed back to the vertices that reach them; the bound doubles when no vertex has k
     of them. What reaches an uncovered pair is uncovered itself, so entries found stay right until their own pair is
-    covered, and each rank is followed once. Before most ranks have been followed, all vertices' uncovered pairs are
-    counted without keeping them; from then on entries are kept of vertices that have k alone, of none if none has.
-    The counts lose what each seed covers. One row a step comes to the driver.
+    covered, and each rank is followed once. Where many ranks would have to be followed, uncovered pairs are counted
+    without keeping them, of the vertices whose bounds() reach a floor: k, and where no count reaches it, a part of the
+    largest count. From then on entries are kept of vertices that have k alone, of none if none has; where these reach
+    few pairs, a search from each of them finds all its entries in place of following ranks. The counts lose what seeds
+    have covered when they are looked at. One row a step comes to the driver.
     """
     if k < 2:
         raise ValueError("k is 2 at least")
@@ -48,7 +53,8 @@ def maximize(graph: Graph, model: str = "weighted", n_seeds: int = 0, k: int = 6
     total = 0 if total is None else total + 1
     packed = settle(pack(live), "packed") if strategy == "worlds" or strategy == "auto" and largest(live) <= LOCAL else None
     covered: list[DataFrame] = []
-    entries, counts, upto = None, None, 0
+    entries, counts, upto, many = None, None, 0, 0
+    floor, share, tops, since = k, 1.0, None, []
     chosen: list[tuple] = []
     spent = [0.0, 0.0]
 
@@ -57,21 +63,56 @@ def maximize(graph: Graph, model: str = "weighted", n_seeds: int = 0, k: int = 6
         found = ranks.where((F.col("rank") >= low) & (F.col("rank") < high)).select("v", "i", "rank")
         return found.join(reduce(DataFrame.unionByName, covered), ["i", "v"], "left_anti") if covered else found
 
+    def every_rank(vertices: DataFrame) -> DataFrame:
+        """u, rank: the uncovered pairs that some vertices (u) reach."""
+        found = reach(live, vertices.select(F.col("u").alias("q"), F.col("u").alias("v")), l, strategy="worlds" if packed is not None else "rounds")
+        return open_pairs(0, total).join(found, ["i", "v"]).select(F.col("q").alias("u"), "rank")
+
+    def counted() -> DataFrame:
+        """u, size: how many uncovered pairs the vertices reach that may reach floor of them, a share of all pairs by
+        the bounds. floor sinks to 1, which stands for all vertices, where the share is over a half."""
+        nonlocal floor, share, tops
+        some, share = graph.vertices(), 1.0
+        if packed is not None and floor > l:
+            tops = tops if tops is not None else settle(bounds(packed, l), "bounds")
+            top, every = tops.agg(F.max("size"), F.sum("size")).first()
+            floor = min(floor, int((top or 0) * SLACK))
+            if floor > l:
+                high = tops.where(F.col("size") >= floor)
+                share = high.agg(F.sum("size")).first()[0] / every
+                some = high.select(F.col("u").alias("v"))
+        if share > 0.5:
+            some, floor, share = graph.vertices(), 1, 1.0
+        return settle(_counts(live, some, l, covered, "worlds" if packed is not None else strategy), "counts")
+
     while len(chosen) < (n_seeds or n):
         began = time.time()
         while True:
             best = most = None
             if entries is not None:
-                per = entries.groupBy("u").agg(F.when(F.count("*") >= k, F.element_at(F.sort_array(F.collect_list("rank")), k)).alias("kth"))
-                best = per.where("kth is not null").agg(F.min(F.struct("kth", "u")).alias("best")).first()["best"]
+                per = entries.groupBy("u").agg(F.count("*").alias("size"), F.when(F.count("*") >= k, F.element_at(F.sort_array(F.collect_list("rank")), k)).alias("kth"))
+                r = per.agg(F.min(F.when(F.col("kth").isNotNull(), F.struct("kth", "u"))).alias("best"), F.max("size").alias("many")).first()
+                best, many = r["best"], r["many"] or 0
             if best is not None:
                 break
-            if counts is None and upto >= total * COUNTED:
-                counts = settle(_counts(live, graph, l, covered, strategy), "counts")
+            hard = upto * k > many * total * COUNTED if upto else k > total * FIRST * COUNTED
+            if counts is None and (hard or upto >= total * COUNTED):
+                counts = counted()
             if counts is not None:
+                if since:
+                    counts, since = settle(_left(counts, live, since, l, packed is not None), "counts"), []
                 most = counts.agg(F.max(F.struct("size", -F.col("u"))).alias("most")).first()["most"]
+                if floor > 1 and (most is None or most["size"] < floor):
+                    floor = int((most["size"] if most is not None else floor - 1) * SLACK)
+                    counts = counted()
+                    continue
                 if most is None or most["size"] < k:
                     break
+                if upto < total:
+                    pairs, own = counts.agg(F.sum("size"), F.sum(F.when(F.col("size") >= k, F.col("size")))).first()
+                    if own * most["size"] <= pairs / share * k:  # fewer than ranks up to a k-th would find
+                        entries, upto = settle(every_rank(counts.where(F.col("size") >= k)), "entries"), total
+                        continue
             low, upto = upto, min(total, max(2 * upto, k, int(total * FIRST)))
             fresh = _reaching(live, open_pairs(low, upto), l, packed is not None).select("u", "rank")
             if counts is not None:
@@ -93,13 +134,11 @@ def maximize(graph: Graph, model: str = "weighted", n_seeds: int = 0, k: int = 6
         began = time.time()
         chosen.append((len(chosen) + 1, u, float(value), count, saturated, *(1000 * x for x in spent), used))
         gone = ranks.where(F.col("rank") < upto).join(fresh, ["i", "v"]).select("rank")
-        if counts is not None and len(chosen) < (n_seeds or n):
-            lost = _reaching(live, fresh.withColumn("rank", F.col("v")), l, packed is not None).groupBy("u").agg(F.count("*").alias("lost"))
-            left = counts.join(lost, "u", "left").select("u", (F.col("size") - F.coalesce("lost", F.lit(0))).alias("size"))
-            counts = settle(left.where("size > 0"), "counts")
+        if counts is not None:
+            since = [*since, fresh] if len(since) < TABLES else [settle(reduce(DataFrame.unionByName, [*since, fresh]), "since")]
         if saturated:  # then no vertex has k pairs any more
             entries = None
-        else:
+        elif len(chosen) < (n_seeds or n):
             entries = settle(entries.join(gone, "rank", "left_anti"), "entries")
         covered.append(fresh)
         if len(covered) > TABLES:
@@ -121,13 +160,20 @@ def _reaching(live: DataFrame, pairs: DataFrame, l: int, local: bool) -> DataFra
     return search(back, pairs.select(F.col("rank").alias("q"), "i", "v"), l, "pairs", largest(pairs)).select(F.col("v").alias("u"), F.col("q").alias("rank"))
 
 
-def _counts(live: DataFrame, graph: Graph, l: int, covered: list[DataFrame], strategy: str) -> DataFrame:  # noqa: E741
-    """u, size: how many uncovered pairs each vertex reaches, 1 at least."""
-    every = graph.vertices().select(F.col("v").alias("q"), "v")
-    found = sizes(live, every, l, reduce(DataFrame.unionByName, covered) if covered else None, strategy)
+def _counts(live: DataFrame, vertices: DataFrame, l: int, covered: list[DataFrame], strategy: str) -> DataFrame:  # noqa: E741
+    """u, size: how many uncovered pairs each of some vertices (v) reaches, 1 at least."""
+    found = sizes(live, vertices.select(F.col("v").alias("q"), "v"), l, reduce(DataFrame.unionByName, covered) if covered else None, strategy)
     return found.groupBy(F.col("q").alias("u")).agg(F.sum("size").alias("size"))
 
 
+def _left(counts: DataFrame, live: DataFrame, since: list[DataFrame], l: int, local: bool) -> DataFrame:  # noqa: E741
+    """counts without pairs (i, v) that were covered since."""
+    gone = reduce(DataFrame.unionByName, since).withColumn("rank", F.col("v"))
+    lost = _reaching(live, gone, l, local).groupBy("u").agg(F.count("*").alias("lost"))
+    left = counts.join(lost, "u", "left").select("u", (F.col("size") - F.coalesce("lost", F.lit(0))).alias("size"))
+    return left.where("size > 0")
+
+
 def quality_gap(seeds: DataFrame) -> DataFrame:
     """One row: seeds, est and exact spread, and how far the exact one stays behind, in per cent."""
     return seeds.agg(F.count("*").alias("seeds"), F.sum("est").alias("est"), F.sum("exact").alias("exact"), (100 * (1 - F.sum("exact") / F.sum("est"))).alias("gap"))

@@ -199,6 +199,57 @@ def spread(packed: DataFrame, u: int, l: int) -> DataFrame:  # noqa: E741
     return packed.mapInArrow(run, "i int, v long").unionByName(own).distinct()
 
 
+def most(out: list) -> list[int]:
+    """For each tail of neighbours() a number that what it reaches, itself included, does not exceed: its strongly
+    connected component's size and the sums of the components right after it, so that it counts paths to them."""
+    n = len(out)
+    seen, low, own = [0] * n, [0] * n, [-1] * n
+    sums, path, clock = [], [], 0
+    for root in range(n):
+        todo = [] if seen[root] else [root]
+        while todo:
+            x = todo[-1]
+            if not seen[x]:
+                clock += 1
+                seen[x] = low[x] = clock
+                path.append(x)
+                if more := [y for y in out[x] if not seen[y]]:
+                    todo += more
+                    continue
+            todo.pop()
+            if own[x] >= 0:  # passed from elsewhere meanwhile
+                continue
+            for y in out[x]:
+                if own[y] < 0 and low[y] < low[x]:
+                    low[x] = low[y]
+            if low[x] == seen[x]:
+                members = []
+                while own[x] < 0:
+                    members.append(y := path.pop())
+                    own[y] = len(sums)
+                after = {own[y] for m in members for y in out[m]} - {len(sums)}
+                sums.append(min(n, len(members) + sum(sums[c] for c in after)))
+    return [sums[c] for c in own]
+
+
+def bounds(packed: DataFrame, l: int) -> DataFrame:  # noqa: E741
+    """u, size: what a vertex reaches in l packed instances together is size at most. Only of vertices with arcs of
+    their own, all others reach l."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for src, dst in zip(*(b.column(c).to_pylist() for c in ("src", "dst")), strict=True):
+                src, dst = np.frombuffer(src, np.int64), np.frombuffer(dst, np.int64)
+                ids, dense = np.unique(np.concatenate([src, dst]), return_inverse=True)
+                more = np.array(most(neighbours(dense[: len(src)], dense[len(src) :], len(ids))), np.int64) - 1
+                some = np.flatnonzero(more)
+                for low in range(0, len(some), STEP):
+                    at = some[low : low + STEP]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(more[at])], names=["u", "more"])
+
+    return packed.select("src", "dst").mapInArrow(run, "u long, more long").groupBy("u").agg((F.sum("more") + F.lit(l)).alias("size"))
+
+
 def levels(arcs: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
     """q, v, level: the ball around each query's sources over all arcs, level by level, up to depth."""
     front = settle(sources.select("q", "v").distinct().withColumn("level", F.lit(0)), "ball")

@@ -358,3 +358,40 @@ def test_command_line(spark, tmp_path):
     assert lines[0] == "NumberOfVertices = 4" and lines[9] == "0_SeedSetSize = 1" and len(lines) == 9 + 2 * (1 + 3 * 6 + 5)
     ids = [x for x in lines if x.startswith("1_2_VertexIds = ")]
     assert len(ids) == 1 and len(ids[0].split(" = ")[1].split(",")) == 2
+
+
+def chains(spark, lengths):
+    """Disjoint chains, one after the other."""
+    arcs, at = [], 0
+    for length in lengths:
+        arcs += [(x, x + 1) for x in range(at, at + length - 1)]
+        at += length
+    return graph(spark, arcs, n=at)
+
+
+def test_few_vertices_with_k_pairs_need_no_other_ranks(spark, monkeypatch):
+    """Where few vertices have k pairs, theirs are searched; ranks of all the others are not followed."""
+    monkeypatch.setattr(greedy, "_reaching", lambda *a: pytest.fail("ranks are followed"))
+    g, k, l = chains(spark, [20] + [2] * 150), 30, 2
+    own = sorted(r["rank"] for r in ranks.stratified(spark, g.n, l).where("v < 20").collect())
+    r = greedy.maximize(g, "binary", 1, k, l, p=1.0).first()
+    assert (r["v"], r["est"], r["exact"], r["saturated"]) == (0, pytest.approx((k - 1) * g.n / (own[k - 1] + 1)), 20.0, False)
+
+
+def test_counts_from_a_floor_that_sinks(spark):
+    g, k, l = chains(spark, [40, 30, 12, 11, 5] + [1] * 60), 50, 2
+    own = {u: sorted(r["rank"] for r in ranks.stratified(spark, g.n, l).where(f"v >= {u} and v < {u + size}").collect()) for u, size in ((0, 40), (40, 30))}
+    first, second = sorted(own, key=lambda u: own[u][k - 1])
+    got = greedy.maximize(g, "binary", 6, k, l, p=1.0).collect()
+    assert [(r["v"], r["est"]) for r in got[:2]] == [(u, pytest.approx((k - 1) * g.n / (own[u][k - 1] + 1))) for u in (first, second)]
+    assert [(r["v"], r["est"], r["exact"], r["saturated"]) for r in got[2:]] == [(70, 12.0, 12.0, True), (82, 11.0, 11.0, True), (93, 5.0, 5.0, True), (98, 1.0, 1.0, True)]
+
+
+def test_bounds_are_no_less_than_sizes(spark):
+    rng = random.Random(14)
+    live = live_edges(graph(spark, [(rng.randrange(80), rng.randrange(80)) for _ in range(170)], n=80), "weighted", 5).cache()
+    want = sizes(live, spark.range(80).selectExpr("id as q", "id as v"), 5).groupBy("q").agg(F.sum("size").alias("size")).collect()
+    most = {r["u"]: r["size"] for r in searches.bounds(pack(live), 5).collect()}
+    assert all(r["size"] <= most.get(r["q"], 5) for r in want)
+    ring = live_edges(graph(spark, [(0, 1), (1, 2), (2, 0), (2, 3), (4, 0)]), "binary", 2, p=1.0)
+    assert sorted(map(tuple, searches.bounds(pack(ring), 2).collect())) == [(0, 8), (1, 8), (2, 8), (4, 10)]
