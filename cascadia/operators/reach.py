@@ -8,6 +8,7 @@ LOCAL. A task holds the arcs and one search, however much its queries find toget
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -199,12 +200,12 @@ def spread(packed: DataFrame, u: int, l: int) -> DataFrame:  # noqa: E741
     return packed.mapInArrow(run, "i int, v long").unionByName(own).distinct()
 
 
-def most(out: list) -> list[int]:
+def most(out: list) -> np.ndarray:
     """For each tail of neighbours() a number that what it reaches, itself included, does not exceed: its strongly
     connected component's size and the sums of the components right after it, so that it counts paths to them."""
     n = len(out)
-    seen, low, own = [0] * n, [0] * n, [-1] * n
-    sums, path, clock = [], [], 0
+    seen, low, own = (array("q", [x]) * n for x in (0, 0, -1))  # far smaller than lists
+    sums, path, clock = array("q"), [], 0
     for root in range(n):
         todo = [] if seen[root] else [root]
         while todo:
@@ -229,7 +230,7 @@ def most(out: list) -> list[int]:
                     own[y] = len(sums)
                 after = {own[y] for m in members for y in out[m]} - {len(sums)}
                 sums.append(min(n, len(members) + sum(sums[c] for c in after)))
-    return [sums[c] for c in own]
+    return np.array(sums, np.int64)[np.array(own, np.int64)]
 
 
 def bounds(packed: DataFrame, l: int) -> DataFrame:  # noqa: E741
@@ -238,10 +239,10 @@ def bounds(packed: DataFrame, l: int) -> DataFrame:  # noqa: E741
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for src, dst in zip(*(b.column(c).to_pylist() for c in ("src", "dst")), strict=True):
-                src, dst = np.frombuffer(src, np.int64), np.frombuffer(dst, np.int64)
+            for row in zip(b.column("src"), b.column("dst"), strict=True):
+                src, dst = (np.frombuffer(x.as_buffer(), np.int64) for x in row)
                 ids, dense = np.unique(np.concatenate([src, dst]), return_inverse=True)
-                more = np.array(most(neighbours(dense[: len(src)], dense[len(src) :], len(ids))), np.int64) - 1
+                more = most(neighbours(dense[: len(src)], dense[len(src) :], len(ids))) - 1
                 some = np.flatnonzero(more)
                 for low in range(0, len(some), STEP):
                     at = some[low : low + STEP]
